@@ -32,50 +32,58 @@ from .session import keep, ready
 FIELD = "<*>"
 
 
-def masked_tokens(line: Column) -> Column:
-    """Tokens of a line, fields with digits masked."""
-    return F.split(F.regexp_replace(F.trim(F.regexp_replace(line, r"[\t\r\x0B\f ]+", " ")), r"[^ ]*[0-9][^ ]*", FIELD), " ", -1)
-
-
-def line_templates(lines: DataFrame, depth: int = 3, max_children: int = 24, min_constant: float = 0.6) -> DataFrame:
-    """lines(..., tokens: array<string>) with template: a 64-bit hash of the token count and the template's tokens."""
-    spark = lines.sparkSession
-    ready(spark)
-    keyed = lines.withColumn("path", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth))).withColumn("exact", F.xxhash64(F.size("tokens"), "tokens"))
-    # leaves that may generalise: more different lines than max_children, and enough constants in the path's rest
-    forms = keyed.where(F.size("tokens") > depth).groupBy("path", "exact").agg(F.first("tokens").alias("tokens"))
-    full = keep(forms.groupBy("path").agg(F.count("*").alias("n")).where(F.col("n") > max_children).select("path"))
-    wide = forms.join(full, "path")
-    places = wide.select("path", F.posexplode("tokens").alias("pos", "token")).where(F.col("token") != FIELD)
-    kinds = places.groupBy("path", "pos", "token").agg(F.lit(1).alias("one")).groupBy("path", "pos").agg(F.count("*").alias("n"))
+#: Leaves that are sent to every task instead of being joined; 8 bytes each.
+BROADCAST_LEAVES = 500_000
+
+
+def masked(line: Column) -> Column:
+    """A line with single spaces between its tokens and digit fields masked.  Lines that need neither are only trimmed."""
+    spaced = F.regexp_replace(line, r"[\t\r\x0B\f ]+", " ")
+    return F.when(F.rlike(line, F.lit(r"[0-9\t\r\x0B\f]|  ")), F.regexp_replace(F.trim(spaced), r"[^ ]*[0-9][^ ]*", FIELD)).otherwise(F.trim(line))
+
+
+def _lines(docs: DataFrame, id_col: str, text_col: str, depth: int) -> DataFrame:
+    """A row a line that isn't blank: doc, version (a hash of the text), place, line (masked), n (tokens), path and exact (hashes of its way down the tree, and of all of it)."""
+    source = docs.where(F.length(text_col) > 0).select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("version"), F.posexplode(F.split(text_col, "\n", -1)).alias("place", "raw"))
+    rows = source.select("doc", "version", "place", masked(F.col("raw")).alias("line")).where("line <> ''")
+    n = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1
+    return rows.withColumn("n", n).withColumn("path", F.xxhash64("n", F.substring_index("line", " ", depth))).withColumn("exact", F.xxhash64("line"))
+
+
+def general_templates(lines: DataFrame, held: DataFrame, depth: int = 3, max_children: int = 24, min_constant: float = 0.6) -> DataFrame:
+    """(exact, merged): the lines whose leaf generalises more than digit fields, with the hash of their template.
+
+    held has the hashes of lines; the lines themselves are read only where a leaf is full.
+    """
+    full = keep(held.where(F.col("n") > depth).groupBy("path", "exact").agg(F.lit(1).alias("one")).groupBy("path").agg(F.count("*").alias("n")).where(F.col("n") > max_children).select("path"))
+    small = full.count() <= BROADCAST_LEAVES
+    inside = lines.where(F.col("n") > depth).join(F.broadcast(full) if small else full, "path", "left_semi")
+    forms = keep(inside.groupBy("path", "exact").agg(F.max("line").alias("line")).select("path", "exact", F.split("line", " ", -1).alias("tokens")))
+    places = forms.select("path", F.posexplode("tokens").alias("pos", "token")).where(F.col("token") != FIELD)
+    kinds = places.groupBy("path", "pos", F.xxhash64("token").alias("token")).agg(F.lit(1).alias("one")).groupBy("path", "pos").agg(F.count("*").alias("n"))
     general = kinds.where(F.col("n") > max_children).groupBy("path").agg(F.collect_set("pos").alias("open"))
-    open_ = F.coalesce("open", F.array().cast("array<int>"))
-    general_tokens = F.transform("tokens", lambda t, i: F.when(F.array_contains("open", i), FIELD).otherwise(t))
-    constants = F.size(F.filter(general_tokens, lambda t: t != FIELD))
-    merged = wide.join(general, "path").where(F.size("open") > 0).where(constants >= min_constant * F.size("tokens"))
-    merged = keep(merged.select("exact", F.xxhash64(F.size("tokens"), general_tokens).alias("merged")))
-    del open_
-    return keyed.join(merged, "exact", "left").withColumn("template", F.coalesce("merged", "exact")).drop("merged", "exact", "path")
+    opened = F.transform("tokens", lambda t, i: F.when(F.array_contains("open", i), FIELD).otherwise(t))
+    merged = forms.join(general, "path").select("exact", "tokens", opened.alias("opened")).where(F.size(F.filter("opened", lambda t: t != FIELD)) >= min_constant * F.size("tokens"))
+    return merged.select("exact", F.xxhash64(F.array_join("opened", " ")).alias("merged")).dropDuplicates(["exact"])
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_texts: int = 8, **tree) -> DataFrame:
-    """docs with recurring lines taken out of text_col, and n_lines, n_dropped."""
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_texts: int = 8, depth: int = 3, **leaf) -> DataFrame:
+    """docs with recurring lines taken out of text_col, and the columns n_lines and n_dropped (unless docs has such columns)."""
     ready(docs.sparkSession)
     names = docs.columns
-    doc = F.col(id_col).cast("long")
-    source = docs.where(F.length(text_col) > 0).select(doc.alias("doc"), F.xxhash64(text_col).alias("version"), F.posexplode(F.split(text_col, "\n", -1)).alias("place", "line"))
-    lines = source.where(F.trim(F.regexp_replace("line", r"[\t\r\x0B\f ]+", " ")) != "").select("doc", "version", "place", masked_tokens(F.col("line")).alias("tokens"))
-    held = keep(line_templates(lines, **tree).select("doc", "version", "place", "template"))
+    lines = _lines(docs, id_col, text_col, depth)
+    held = keep(lines.select("doc", "version", "place", "n", "path", "exact"))
+    merged = keep(general_templates(lines, held, depth, **leaf))
+    held = held.join(merged, "exact", "left").select("doc", "version", "place", F.coalesce("merged", "exact").alias("template"))
     texts = held.groupBy("template", "version").agg(F.min("doc").alias("first")).groupBy("template").agg(F.count("*").alias("texts"), F.min("first").alias("first"))
     recurring = texts.where(F.col("texts") >= min_texts).select("template", "first")
     dropped = held.join(recurring, "template").where(~F.col("doc").eqNullSafe(F.col("first")))
     # rows are told apart by id and text, so that repeated ids with other texts keep their own lines
-    out = dropped.groupBy("doc", "version").agg(F.collect_set("place").alias("gone"))
-    rows = docs.withColumn("_doc", F.coalesce(doc, F.lit(-(1 << 62)))).withColumn("_version", F.xxhash64(text_col))
-    out = out.select(F.coalesce("doc", F.lit(-(1 << 62))).alias("_doc"), F.col("version").alias("_version"), F.col("gone").alias("_gone"))
-    rows = rows.join(out, ["_doc", "_version"], "left")
+    none = F.lit(-(1 << 62))
+    out = keep(dropped.groupBy(F.coalesce("doc", none).alias("_doc"), F.col("version").alias("_version")).agg(F.collect_set("place").alias("_gone")))
+    rows = docs.withColumn("_doc", F.coalesce(F.col(id_col).cast("long"), none)).withColumn("_version", F.xxhash64(text_col)).join(out, ["_doc", "_version"], "left")
     pieces = F.split(text_col, "\n", -1)
     left = F.array_join(F.filter(pieces, lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    n_lines = F.when(F.length(text_col) > 0, F.size(pieces)).otherwise(0)
     columns = [F.when(F.col("_gone").isNull(), F.col(c)).otherwise(left).alias(c) if c == text_col else F.col(f"`{c}`") for c in names]
-    return rows.select(*columns, n_lines.alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).alias("n_dropped")) if not {"n_lines", "n_dropped"} & set(names) else rows.select(*columns)
+    more = {"n_lines": F.when(F.length(text_col) > 0, F.size(pieces)).otherwise(0), "n_dropped": F.coalesce(F.size("_gone"), F.lit(0))}
+    return rows.select(*columns, *(c.alias(n) for n, c in more.items() if n not in names))
