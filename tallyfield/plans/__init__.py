@@ -1,6 +1,55 @@
-def flagship(spark, sf_dir):
-    raise NotImplementedError
-def queries():
-    return {}
-def oracle_sql():
-    return {}
+"""The registered queries of the engine and the SQL that checks them."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from functools import partial
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators.counts import count_integers, describe, mle
+from ..streaming.counts import streamed_counts, windowed_events
+from .sql import QUERIES, spell
+
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+
+def _run(sql: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    for name in TABLES:
+        if name in sql:
+            spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+    return spark.sql(sql)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and pages: extract, count, fill, fit - one row a corpus."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.lit("documents").alias("corpus"), "text")
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.lit("pages").alias("corpus"), F.col("html").alias("text"))
+    out = describe(count_integers(docs.unionByName(pages), "corpus"), "corpus")
+    return out.withColumn("alpha_mle", F.round(mle(F.col("_c"), F.col("_l")), 6)).drop("_c", "_l")
+
+
+def _describe_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_partkey between 0 and 10000").groupBy(F.col("l_returnflag").alias("corpus"), F.col("l_partkey").cast("int").alias("n")).agg(F.count("*").alias("c"))
+    return describe(counts, "corpus").drop("_c", "_l")
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    out: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: partial(_run, spell(v, 0)) for k, v in QUERIES.items()}
+    return out | {"F03_flagship": flagship, "F07_describe": _describe_parts, "L01_streamed_counts": streamed_counts, "L07_windowed_events": windowed_events}
+
+
+_DESCRIBE = """SELECT corpus, round(regr_slope(CASE WHEN n >= 1 AND c > 0 THEN ln(c) END, CASE WHEN n >= 1 AND c > 0 THEN ln(n) END), 6) AS alpha_ols,
+  round(regr_r2(CASE WHEN n >= 1 AND c > 0 THEN ln(c) END, CASE WHEN n >= 1 AND c > 0 THEN ln(n) END), 6) AS r2, CAST(sum(c) AS BIGINT) AS integer_matches,
+  round(count_if(n >= 1 AND c > 0) / 10000.0, 6) AS support, count_if(n BETWEEN 10 AND 9999 AND c < 4000) AS rare,
+  round(sum(CASE WHEN n BETWEEN 10 AND 9999 THEN c / (c + 4000.0) END), 6) AS saturation"""
+_GRID = "den AS (SELECT k.corpus, z.n, coalesce(cnt.c, 0) AS c FROM (SELECT DISTINCT corpus FROM cnt) k CROSS JOIN {ZERO} z LEFT JOIN cnt ON cnt.corpus = k.corpus AND cnt.n = z.n)"
+
+
+def oracle_sql() -> dict[str, str]:
+    out = {k: spell(v, 1) for k, v in QUERIES.items()}
+    out["F07_describe"] = spell(f"WITH cnt AS (SELECT l_returnflag AS corpus, CAST(l_partkey AS INT) AS n, count(*) AS c FROM lineitem WHERE l_partkey BETWEEN 0 AND 10000 GROUP BY 1, 2), {_GRID} {_DESCRIBE} FROM den GROUP BY corpus", 1)
+    out["L01_streamed_counts"] = "SELECT event_type, CAST(floor(value) AS INT) AS n, count(*) AS c FROM events GROUP BY 1, 2"
+    out["L07_windowed_events"] = "SELECT date_trunc('day', ts) AS day, event_type, count(*) AS k, round(sum(value), 4) AS total FROM events GROUP BY 1, 2"
+    return out
