@@ -76,7 +76,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     merged = keep(general_templates(lines, held, depth, **leaf))
     held = held.join(merged, "exact", "left").select("doc", "version", "place", F.coalesce("merged", "exact").alias("template"))
     texts = held.groupBy("template", "version").agg(F.min("doc").alias("first")).groupBy("template").agg(F.count("*").alias("texts"), F.min("first").alias("first"))
-    recurring = texts.where(F.col("texts") >= min_texts).select("template", "first")
+    recurring = keep(texts.where(F.col("texts") >= min_texts).select("template", "first"))  # apart, so that the join below can split hot templates
     dropped = held.join(recurring, "template").where(~F.col("doc").eqNullSafe(F.col("first")))
     # rows are told apart by id and text, so that repeated ids with other texts keep their own lines
     none = F.lit(-(1 << 62))
