@@ -8,10 +8,9 @@
 3. A class whose shared columns can't reach the threshold leaves.  The rest
    keep, in order of column count, only the columns within the size-derived
    prefix; two classes that reach the threshold share one of those.
-4. The product over these columns is accumulated against a few *pivot* rows
-   per column first; a pair's partial count plus its largest possible rest is
-   held against the count that the sizes require, and what survives gets its
-   exact overlap.  Columns whose classes are then all in one component are
+4. The product is taken against a few *pivot* rows per column first.  Pairs
+   that the sizes and the columns' places rule out are discarded where they
+   meet; what survives gets its exact overlap count.  Columns whose classes are then all in one component are
    finished: no link in them could change a result.  Only the pairs of
    different components that are left in a column are multiplied out.
 
@@ -29,7 +28,6 @@ import math
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +39,8 @@ from .session import keep, range_bits, ready
 FLUSH = 1 << 20
 #: Bits of an n-gram's hash in the product's column keys; the bits above hold log2 of the column's count.
 COLUMN_BITS = 56
+#: Words of 64 marks a row.
+MARKS = 12
 
 
 def shingle_sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -157,15 +157,31 @@ def _verified(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").withColumn("o", both).where(100 * F.col("o") >= percent * (F.col("na") + F.col("nb") - F.col("o"))).select("a", "b")
 
 
-def _bounded(pairs: DataFrame, percent: int) -> DataFrame:
-    """Discard by size: pairs(a, na, ra, la, b, nb, rb, lb, seen); r: columns of the row behind its prefix, l: the prefix's last column, seen: overlap so far.
+def _possible(n: str, m: str, at: str, n_: str, m_: str, at_: str, percent: int):
+    """Whether two rows that meet in a column can reach the threshold, from sizes and places alone.
 
-    An overlap of o in a union of na + nb - o meets the threshold only if
-    (100 + percent) * o >= percent * (na + nb).  The prefix that ends first has
-    met all that it shares with the other row, so o <= seen + what is behind it.
+    n: set sizes, m: shared columns, at: the column's place among them.  Both
+    rows are in one order.  An overlap of o in a union of n + n_ - o reaches the
+    threshold only if (100 + percent) * o >= percent * (n + n_), and at the
+    first column that two rows share, all of their overlap lies from there on:
+    a pair is met in the part of its prefixes where that many columns are left.
     """
-    rest = F.when(F.col("la") <= F.col("lb"), F.col("ra")).otherwise(F.col("rb"))
-    return pairs.where((F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)).where((100 + percent) * (F.col("seen") + rest) >= percent * (F.col("na") + F.col("nb")))
+    n, m, at, n_, m_, at_ = map(F.col, (n, m, at, n_, m_, at_))
+    return (n * 100 >= n_ * percent) & (n_ * 100 >= n * percent) & ((100 + percent) * F.least(m - at, m_ - at_) >= percent * (n + n_))
+
+
+def _marked(percent: int):
+    """Whether the marks of two rows leave room for the threshold.
+
+    A row's marks are one bit for each hash bucket that a column of it is in.  A
+    bit that only one row has stands for a column that the other lacks, so an
+    overlap is at most a row's columns less its bits without a partner.
+    """
+    def lacking(a: str, b: str):
+        return sum((F.bit_count(F.col(f"w{k}{a}").bitwiseAND(F.bitwise_not(f"w{k}{b}"))) for k in range(MARKS)), F.lit(0))
+
+    most = F.least(F.col("m") - lacking("", "_"), F.col("m_") - lacking("_", ""))
+    return (100 + percent) * most >= percent * (F.col("n") + F.col("n_"))
 
 
 def _attach(rows: DataFrame, links: DataFrame) -> DataFrame:
@@ -173,7 +189,7 @@ def _attach(rows: DataFrame, links: DataFrame) -> DataFrame:
     return rows.join(components(links).withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("component", "cls")).drop("component")
 
 
-def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75, pivot_rounds: int = 4) -> DataFrame:
+def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75, pivot_rounds: int = 2) -> DataFrame:
     """docs to (doc_id, n_shingles, component_id): one row per row of docs; links where 100 * overlap >= percent * union."""
     spark = docs.sparkSession
     ready(spark)
@@ -187,8 +203,9 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     least = F.ceil(F.col("n") * percent / 100).cast("int")
     rows = keep(shared.join(classes, "cls").where(F.size("cols") >= least).withColumn("p", F.size("cols") - least + 1).select("cls", "n", "p", "cols"))
 
-    entries = rows.select("cls", "n", (F.size("cols") - F.col("p")).alias("r"), F.element_at("cols", F.col("p")).alias("l"), F.explode(F.slice("cols", 1, F.col("p"))).alias("col"))
-    member = F.struct("cls", "n", "r", "l")
+    marks = [F.expr(f"aggregate(filter(cols, c -> pmod(c, {MARKS}) = {k}), 0L, (s, c) -> s | shiftleft(1L, cast(pmod(shiftright(c, 8), 64) as int)))").alias(f"w{k}") for k in range(MARKS)]
+    entries = rows.select("cls", "n", *marks, F.size("cols").alias("m"), F.posexplode(F.slice("cols", 1, F.col("p"))).alias("at", "col"))
+    member = F.struct("cls", "n", "m", "at")
     links = None
     state = rows.select("cls", F.col("cls").alias("comp"))
     for turn in range(pivot_rounds):
@@ -197,10 +214,10 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         live = entries.join(state, "cls").withColumn("band", band)
         open_ = live.groupBy("col").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("col")
         live = live.join(open_, "col")
-        pivots = live.groupBy("col", "band").agg(F.min_by(F.struct(member.alias("m"), "comp"), F.xxhash64("cls", F.lit(turn))).alias("x")).select("col", F.col("band").alias("pband"), F.col("x.m").alias("m"), F.col("x.comp").alias("pcomp"))
+        pivots = live.groupBy("col", "band").agg(F.min_by(F.struct(member.alias("mem"), "comp"), F.xxhash64("cls", F.lit(turn))).alias("x")).select("col", F.col("band").alias("pband"), F.col("x.mem").alias("mem"), F.col("x.comp").alias("pcomp"))
         reach = live.withColumn("pband", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
-        found = reach.join(pivots, ["col", "pband"]).where("comp <> pcomp").groupBy(F.col("cls").alias("a"), F.col("m.cls").alias("b")).agg(F.first("n").alias("na"), F.first("r").alias("ra"), F.first("l").alias("la"), F.first("m.n").alias("nb"), F.first("m.r").alias("rb"), F.first("m.l").alias("lb"), F.count("*").alias("seen"))
-        new = keep(_verified(_bounded(found, percent), rows, percent))
+        found = reach.join(pivots, ["col", "pband"]).where("comp <> pcomp").where(_possible("n", "m", "at", "mem.n", "mem.m", "mem.at", percent)).select(F.col("cls").alias("a"), F.col("mem.cls").alias("b")).distinct()
+        new = keep(_verified(found, rows, percent))
         if new.isEmpty():
             break
         links = keep(new if links is None else links.union(new))
@@ -209,10 +226,10 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # what is left: pairs of different components in one column
     live = entries.join(state, "cls")
     live = live.join(live.groupBy("col").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("col"), "col")
-    other = live.select("col", *(F.col(c).alias(f"{c}_") for c in ("cls", "n", "r", "l", "comp")))
-    rest = live.join(other, "col").where(F.col("comp") < F.col("comp_")).where((F.col("n") * 100 >= F.col("n_") * percent) & (F.col("n_") * 100 >= F.col("n") * percent))
-    rest = rest.groupBy(F.col("cls").alias("a"), F.col("cls_").alias("b")).agg(F.first("n").alias("na"), F.first("r").alias("ra"), F.first("l").alias("la"), F.first("n_").alias("nb"), F.first("r_").alias("rb"), F.first("l_").alias("lb"), F.count("*").alias("seen"))
-    new = _verified(_bounded(rest, percent), rows, percent)
+    other = live.select("col", *(F.col(c).alias(f"{c}_") for c in ("cls", "n", "m", "at", "comp", *(f"w{k}" for k in range(MARKS)))))
+    rest = live.join(other, "col").where(F.col("comp") < F.col("comp_")).where(_possible("n", "m", "at", "n_", "m_", "at_", percent) & _marked(percent))
+    rest = rest.select(F.col("cls").alias("a"), F.col("cls_").alias("b")).distinct()
+    new = _verified(rest, rows, percent)
     links = keep(new if links is None else links.union(new))
 
     # components by the smallest document id of their classes
