@@ -203,8 +203,7 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     least = F.ceil(F.col("n") * percent / 100).cast("int")
     rows = keep(shared.join(classes, "cls").where(F.size("cols") >= least).withColumn("p", F.size("cols") - least + 1).select("cls", "n", "p", "cols"))
 
-    marks = [F.expr(f"aggregate(filter(cols, c -> pmod(c, {MARKS}) = {k}), 0L, (s, c) -> s | shiftleft(1L, cast(pmod(shiftright(c, 8), 64) as int)))").alias(f"w{k}") for k in range(MARKS)]
-    entries = rows.select("cls", "n", *marks, F.size("cols").alias("m"), F.posexplode(F.slice("cols", 1, F.col("p"))).alias("at", "col"))
+    entries = rows.select("cls", "n", F.size("cols").alias("m"), F.posexplode(F.slice("cols", 1, F.col("p"))).alias("at", "col"))
     member = F.struct("cls", "n", "m", "at")
     links = None
     state = rows.select("cls", F.col("cls").alias("comp"))
@@ -226,6 +225,11 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # what is left: pairs of different components in one column
     live = entries.join(state, "cls")
     live = live.join(live.groupBy("col").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("col"), "col")
+    live = keep(live)
+    # marks of the classes that are left, once a class: beside posexplode they would be made once an entry
+    bit = "aggregate(filter(cols, c -> pmod(c, {n}) = {k}), 0L, (s, c) -> s | shiftleft(1L, cast(pmod(shiftright(c, 8), 64) as int)))"
+    marks = keep(rows.join(live.select("cls").distinct(), "cls", "left_semi").select("cls", *(F.expr(bit.format(n=MARKS, k=k)).alias(f"w{k}") for k in range(MARKS))))
+    live = live.join(marks, "cls")
     other = live.select("col", *(F.col(c).alias(f"{c}_") for c in ("cls", "n", "m", "at", "comp", *(f"w{k}" for k in range(MARKS)))))
     rest = live.join(other, "col").where(F.col("comp") < F.col("comp_")).where(_possible("n", "m", "at", "n_", "m_", "at_", percent) & _marked(percent))
     rest = rest.select(F.col("cls").alias("a"), F.col("cls_").alias("b")).distinct()
