@@ -151,10 +151,10 @@ def _shared(batches):
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
-    """pairs(a, b) of classes to those that reach the threshold."""
+    """pairs(a, b, pa, pb) of classes and their components to those (pa, pb) that reach the threshold."""
     left, right = (rows.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("cols").alias(f"c{x}")) for x in "ab")
     both = F.size(F.array_intersect("ca", "cb"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").withColumn("o", both).where(100 * F.col("o") >= percent * (F.col("na") + F.col("nb") - F.col("o"))).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").withColumn("o", both).where(100 * F.col("o") >= percent * (F.col("na") + F.col("nb") - F.col("o"))).select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct()
 
 
 def _possible(n: str, m: str, at: str, n_: str, m_: str, at_: str, percent: int):
@@ -184,9 +184,10 @@ def _marked(percent: int):
     return (100 + percent) * most >= percent * (F.col("n") + F.col("n_"))
 
 
-def _attach(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """rows with the component of their cls in comp; a class in no link is its own."""
-    return rows.join(components(links).withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("component", "cls")).drop("component")
+def _merged(state: DataFrame, links: DataFrame) -> DataFrame:
+    """state(cls, comp) after links(a, b) between its components: only components are walked again, not classes."""
+    moved = components(links).select(F.col("node").alias("comp"), "component")
+    return state.join(moved, "comp", "left").select("cls", F.coalesce("component", "comp").alias("comp"))
 
 
 def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75, pivot_rounds: int = 2) -> DataFrame:
@@ -205,7 +206,6 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     entries = rows.select("cls", "n", F.size("cols").alias("m"), F.posexplode(F.slice("cols", 1, F.col("p"))).alias("at", "col"))
     member = F.struct("cls", "n", "m", "at")
-    links = None
     state = rows.select("cls", F.col("cls").alias("comp"))
     for turn in range(pivot_rounds):
         # a pivot for each column and size class, so that a pivot's size allows a link
@@ -215,12 +215,11 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         live = live.join(open_, "col")
         pivots = live.groupBy("col", "band").agg(F.min_by(F.struct(member.alias("mem"), "comp"), F.xxhash64("cls", F.lit(turn))).alias("x")).select("col", F.col("band").alias("pband"), F.col("x.mem").alias("mem"), F.col("x.comp").alias("pcomp"))
         reach = live.withColumn("pband", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
-        found = reach.join(pivots, ["col", "pband"]).where("comp <> pcomp").where(_possible("n", "m", "at", "mem.n", "mem.m", "mem.at", percent)).select(F.col("cls").alias("a"), F.col("mem.cls").alias("b")).distinct()
+        found = reach.join(pivots, ["col", "pband"]).where("comp <> pcomp").where(_possible("n", "m", "at", "mem.n", "mem.m", "mem.at", percent)).select(F.col("cls").alias("a"), F.col("mem.cls").alias("b"), F.col("comp").alias("pa"), F.col("pcomp").alias("pb")).distinct()
         new = keep(_verified(found, rows, percent))
         if new.isEmpty():
             break
-        links = keep(new if links is None else links.union(new))
-        state = keep(_attach(rows.select("cls"), links).select("cls", "comp"))
+        state = keep(_merged(state, new))
 
     # what is left: pairs of different components in one column
     live = entries.join(state, "cls")
@@ -232,14 +231,16 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     live = live.join(marks, "cls")
     other = live.select("col", *(F.col(c).alias(f"{c}_") for c in ("cls", "n", "m", "at", "comp", *(f"w{k}" for k in range(MARKS)))))
     rest = live.join(other, "col").where(F.col("comp") < F.col("comp_")).where(_possible("n", "m", "at", "n_", "m_", "at_", percent) & _marked(percent))
-    rest = rest.select(F.col("cls").alias("a"), F.col("cls_").alias("b")).distinct()
-    new = _verified(rest, rows, percent)
-    links = keep(new if links is None else links.union(new))
+    rest = rest.select(F.col("cls").alias("a"), F.col("cls_").alias("b"), F.col("comp").alias("pa"), F.col("comp_").alias("pb")).distinct()
+    new = keep(_verified(rest, rows, percent))
+    if not new.isEmpty():
+        state = _merged(state, new)
 
     # components by the smallest document id of their classes
-    names = _attach(classes, links).groupBy("comp").agg(F.min("id").alias("component_id"))
-    of = _attach(classes, links).join(names, "comp").select("cls", "component_id")
-    out = sizes.join(keep(of), "cls", "left")
+    named = keep(classes.join(state, "cls", "left").select("cls", "id", F.coalesce("comp", "cls").alias("comp")))
+    names = named.groupBy("comp").agg(F.min("id").alias("component_id"))
+    of = named.join(names, "comp").select("cls", "component_id")
+    out = sizes.join(of, "cls", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
