@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators.counts import count_integers, describe, mle
 from ..streaming.counts import streamed_counts, windowed_events
+from .further import FURTHER
 from .more import MORE
 from .sql import QUERIES, spell
 
@@ -37,7 +38,7 @@ def _describe_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    out: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: partial(_run, spell(v, 0)) for k, v in (QUERIES | MORE).items()}
+    out: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: partial(_run, spell(v, 0)) for k, v in (QUERIES | MORE | FURTHER).items()}
     return out | {"F03_flagship": flagship, "F07_describe": _describe_parts, "L01_streamed_counts": streamed_counts, "L07_windowed_events": windowed_events}
 
 
@@ -49,7 +50,7 @@ _GRID = "den AS (SELECT k.corpus, z.n, coalesce(cnt.c, 0) AS c FROM (SELECT DIST
 
 
 def oracle_sql() -> dict[str, str]:
-    out = {k: spell(v, 1) for k, v in (QUERIES | MORE).items()}
+    out = {k: spell(v, 1) for k, v in (QUERIES | MORE | FURTHER).items()}
     out["F07_describe"] = spell(f"WITH cnt AS (SELECT l_returnflag AS corpus, CAST(l_partkey AS INT) AS n, count(*) AS c FROM lineitem WHERE l_partkey BETWEEN 0 AND 10000 GROUP BY 1, 2), {_GRID} {_DESCRIBE} FROM den GROUP BY corpus", 1)
     out["L01_streamed_counts"] = "SELECT event_type, CAST(floor(value) AS INT) AS n, count(*) AS c FROM events GROUP BY 1, 2"
     out["L07_windowed_events"] = "SELECT date_trunc('day', ts) AS day, event_type, count(*) AS k, round(sum(value), 4) AS total FROM events GROUP BY 1, 2"

@@ -57,7 +57,7 @@ QUERIES: dict[str, str] = {
     "P15_flags": "WITH s AS (SELECT n, CAST(n AS STRING) AS s FROM {ZERO} z WHERE n >= 1) SELECT n, n % 100 = 0 AS h, n % 1000 = 0 AS k, (n & (n - 1)) = 0 AS pow2, length(s) > 1 AND length(replace(s, substr(s, 1, 1), '')) = 0 AS repdigit FROM s",
     "P16_trailing_nines": "WITH s AS (SELECT n, CAST(n AS STRING) AS s FROM {ZERO} z WHERE n BETWEEN 100 AND 999) SELECT CASE WHEN s = '999' THEN 3 WHEN s LIKE '%99' THEN 2 WHEN s LIKE '%9' THEN 1 ELSE 0 END AS depth, count(*) AS steps FROM s GROUP BY 1",
     "P17_prefixes": f"WITH {PART} SELECT n, CAST(floor(n / 10) AS INT) AS p1, CAST(floor(n / 100) AS INT) AS p2, CAST(floor(n / 1000) AS INT) AS p3 FROM cnt",
-    "P18_hamming": f"WITH {PART}, s AS (SELECT n, lpad(CAST(n AS STRING), 4, '0') AS s FROM cnt WHERE n < 200) SELECT a.n AS a, b.n AS b, CAST((CASE WHEN substr(a.s, 1, 1) <> substr(b.s, 1, 1) THEN 1 ELSE 0 END) + (CASE WHEN substr(a.s, 2, 1) <> substr(b.s, 2, 1) THEN 1 ELSE 0 END) + (CASE WHEN substr(a.s, 3, 1) <> substr(b.s, 3, 1) THEN 1 ELSE 0 END) + (CASE WHEN substr(a.s, 4, 1) <> substr(b.s, 4, 1) THEN 1 ELSE 0 END) AS INT) AS d FROM s a JOIN s b ON b.n BETWEEN a.n + 1 AND a.n + 20",
+    "P18_hamming": f"WITH {PART}, s AS (SELECT n, lpad(CAST(n AS STRING), 4, '0') AS s FROM cnt) SELECT a.n AS a, b.n AS b, CAST((CASE WHEN substr(a.s, 1, 1) <> substr(b.s, 1, 1) THEN 1 ELSE 0 END) + (CASE WHEN substr(a.s, 2, 1) <> substr(b.s, 2, 1) THEN 1 ELSE 0 END) + (CASE WHEN substr(a.s, 3, 1) <> substr(b.s, 3, 1) THEN 1 ELSE 0 END) + (CASE WHEN substr(a.s, 4, 1) <> substr(b.s, 4, 1) THEN 1 ELSE 0 END) AS INT) AS d FROM s a JOIN s b ON b.n BETWEEN a.n + 1 AND a.n + 20",
     "P19_bands": f"WITH band AS (SELECT CAST(n AS INT) AS g, round(power(10, 1 + n / 3.0)) AS m FROM {{ZERO}} z WHERE n < 10), {PART} SELECT g, CAST(sum(c) AS BIGINT) AS c FROM band JOIN cnt ON cnt.n >= ceil(0.9 * m) AND cnt.n <= floor(1.1 * m) GROUP BY g",
     "P20_decades": f"WITH {DENSE} SELECT CAST(length(CAST(n AS STRING)) AS INT) AS digits, CAST(sum(c) AS BIGINT) AS c FROM den WHERE n >= 1 GROUP BY 1",
     "P21_frequency_tiers": f"WITH {DENSE} SELECT CASE WHEN c < 10 THEN 'low' WHEN c < 40 THEN 'mid' ELSE 'high' END AS tier, count(*) AS k FROM den WHERE n BETWEEN 10 AND 9999 GROUP BY 1",
@@ -114,7 +114,7 @@ QUERIES: dict[str, str] = {
     "J08_neighbours": f"WITH {PART} SELECT a.n, count(*) AS k, round(avg(b.c), 6) AS base FROM cnt a JOIN cnt b ON b.n BETWEEN a.n - 3 AND a.n + 3 AND b.n <> a.n AND b.n % 10 <> 0 WHERE a.n % 10 = 0 AND a.n > 0 GROUP BY a.n",
     "J09_successor": f"WITH {PART} SELECT a.n, b.c - a.c AS step FROM cnt a JOIN cnt b ON b.n = a.n + 1",
     "J10_pairs": "SELECT a.s_suppkey AS a, b.s_suppkey AS b, round(abs(a.s_acctbal - b.s_acctbal), 4) AS d FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey",
-    "J11_knn": "WITH d AS (SELECT a.vec_id, b.vec_id AS other, {DOT} AS s FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(s, 9) DESC, other) AS k FROM d) SELECT vec_id, CAST(k AS INT) AS k, other, round(s, 6) AS s FROM r WHERE k <= 5",
+    "J11_knn": "WITH d AS (SELECT a.vec_id, b.vec_id AS other, {DOT} AS s FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(s, 9) DESC, other) AS k FROM d) SELECT vec_id, CAST(k AS INT) AS k, other, round(s, 6) AS s FROM r WHERE k <= 5",
     "J12_nearest_key": f"WITH {PART}, o AS (SELECT n FROM cnt WHERE n % 37 = 0), r AS (SELECT a.n AS a, o.n AS near, row_number() OVER (PARTITION BY a.n ORDER BY abs(a.n - o.n), o.n) AS k FROM cnt a JOIN o ON o.n BETWEEN a.n - 40 AND a.n + 40) SELECT a, near FROM r WHERE k = 1",
     # windows, sets
     "W01_rank_frequency": f"WITH {PART} SELECT n, c, CAST(row_number() OVER (ORDER BY c DESC, n) AS INT) AS rank FROM cnt WHERE c > 0",
@@ -161,7 +161,7 @@ QUERIES: dict[str, str] = {
     "R16_benjamini_hochberg": "WITH p AS (SELECT p_partkey AS id, (p_partkey * 7919 % 1000 + 0.5D) / 1000 * (p_partkey % 10 + 1) / 10 AS p FROM part), r AS (SELECT id, p, row_number() OVER (ORDER BY p, id) AS k, count(*) OVER () AS m FROM p) SELECT id, round(least(1.0D, min(p * m / k) OVER (ORDER BY k DESC ROWS UNBOUNDED PRECEDING)), 6) AS q FROM r",
     # geometry
     "G07_path": "WITH m AS (SELECT label, p, avg(x) AS v FROM {VEC} q GROUP BY label, p), d AS (SELECT a.label, sqrt(sum(power(b.v - a.v, 2))) AS len FROM m a JOIN m b ON b.p = a.p AND b.label = a.label + 1 GROUP BY a.label) SELECT label, round(len, 6) AS segment, round(sum(len) OVER (ORDER BY label ROWS UNBOUNDED PRECEDING), 6) AS travelled FROM d",
-    "G12_knn_labels": "WITH d AS (SELECT a.vec_id, a.label AS la, b.label AS lb, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({DOT}, 9) DESC, b.vec_id) AS k FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 25 = 0) SELECT round(avg(CASE WHEN la = lb THEN 1.0D ELSE 0.0D END), 6) AS same FROM d WHERE k <= 10",
+    "G12_knn_labels": "WITH d AS (SELECT a.vec_id, a.label AS la, b.label AS lb, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({DOT}, 9) DESC, b.vec_id) AS k FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0) SELECT round(avg(CASE WHEN la = lb THEN 1.0D ELSE 0.0D END), 6) AS same FROM d WHERE k <= 10",
     "G14_norms": "SELECT vec_id, round(sqrt(sum(x * x)), 6) AS norm, round(avg(x), 6) AS mean FROM {VEC} v GROUP BY vec_id",
     "G15_standardise": "SELECT p, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS sd, stddev_pop(x) > 1e-8 AS kept FROM {VEC} v GROUP BY p",
     "G32_energy_distance": "WITH a AS (SELECT x FROM {VEC} v WHERE label = 0 AND p = 0), b AS (SELECT x FROM {VEC} w WHERE label = 1 AND p = 0) SELECT round(2 * (SELECT avg(abs(a.x - b.x)) FROM a CROSS JOIN b) - (SELECT avg(abs(a.x - c.x)) FROM a CROSS JOIN a c) - (SELECT avg(abs(b.x - c.x)) FROM b CROSS JOIN b c), 6) AS e",

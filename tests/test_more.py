@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from tallyfield import plans
+from tallyfield.plans.further import FURTHER
 from tallyfield.plans.more import MORE, _draws
 from tallyfield.plans.sql import spell
 
@@ -26,7 +27,7 @@ def close(a, b):
     return a == b
 
 
-@pytest.mark.parametrize("name", sorted(MORE))
+@pytest.mark.parametrize("name", sorted(MORE | FURTHER))
 def test_same_as_oracle(spark, oracle, name):
     found = plans.queries()[name](spark, SF)
     said = oracle.sql(plans.oracle_sql()[name])
