@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..operators.counts import count_integers, describe, mle
 from ..streaming.counts import streamed_counts, windowed_events
 from .further import FURTHER
+from .kernels import KERNELS
 from .more import MORE
 from .sql import QUERIES, spell
 
@@ -39,7 +40,7 @@ def _describe_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: partial(_run, spell(v, 0)) for k, v in (QUERIES | MORE | FURTHER).items()}
-    return out | {"F03_flagship": flagship, "F07_describe": _describe_parts, "L01_streamed_counts": streamed_counts, "L07_windowed_events": windowed_events}
+    return out | KERNELS | {"F03_flagship": flagship, "F07_describe": _describe_parts, "L01_streamed_counts": streamed_counts, "L07_windowed_events": windowed_events}
 
 
 _DESCRIBE = """SELECT corpus, round(regr_slope(CASE WHEN n >= 1 AND c > 0 THEN ln(c) END, CASE WHEN n >= 1 AND c > 0 THEN ln(n) END), 6) AS alpha_ols,
