@@ -14,6 +14,7 @@ from .further import FURTHER
 from .kernels import KERNELS
 from .more import MORE
 from .sql import QUERIES, spell
+from .whole import WHOLE
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -39,7 +40,7 @@ def _describe_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    out: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: partial(_run, spell(v, 0)) for k, v in (QUERIES | MORE | FURTHER).items()}
+    out: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: partial(_run, spell(v, 0)) for k, v in (QUERIES | MORE | FURTHER | WHOLE).items()}
     return out | KERNELS | {"F03_flagship": flagship, "F07_describe": _describe_parts, "L01_streamed_counts": streamed_counts, "L07_windowed_events": windowed_events}
 
 
