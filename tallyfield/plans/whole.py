@@ -7,7 +7,11 @@ whole answers against brute force.
 
 from __future__ import annotations
 
+from .sql import UNIT
+
 WHOLE: dict[str, str] = {
     # a running sum over the distinct values instead of one sort of all rows
     "W05_average_rank": "WITH k AS (SELECT l_quantity, count(*) AS c FROM lineitem GROUP BY l_quantity), s AS (SELECT l_quantity, sum(c) OVER (ORDER BY l_quantity ROWS UNBOUNDED PRECEDING) - c + 1 + (c - 1) / 2.0D AS r FROM k) SELECT /*+ BROADCAST(s) */ l_orderkey, l_linenumber, s.r FROM lineitem l JOIN s ON l.l_quantity <=> s.l_quantity",
+    # offsets summed over ranges of ids, then within each; every document makes its own chunks
+    "M12_chunk_to_file": f"WITH {UNIT}, u AS (SELECT doc_id, CAST(floor(size / 2048) AS BIGINT) AS k, floor(doc_id / 4096) AS r FROM unit), t AS (SELECT r, sum(sum(k)) OVER (ORDER BY r ROWS UNBOUNDED PRECEDING) - sum(k) AS before FROM u GROUP BY r), o AS (SELECT u.doc_id, k, before + sum(k) OVER (PARTITION BY u.r ORDER BY u.doc_id ROWS UNBOUNDED PRECEDING) - k AS lo FROM u JOIN t ON u.r <=> t.r) SELECT CAST(lo + j AS BIGINT) AS chunk, doc_id, CAST(j * 2048 AS BIGINT) AS start FROM (SELECT doc_id, lo, explode(sequence(CAST(0 AS BIGINT), k - 1)) AS j FROM o WHERE k > 0) q",
 }

@@ -24,3 +24,19 @@ def test_average_rank_of_all_rows(spark, table):
         places.setdefault(q, []).append(place)
     want = sorted((k, n, sum(places[q]) / len(places[q])) for k, n, q in lines)
     assert sorted(rows(spark, "W05_average_rank", ["l_orderkey", "l_linenumber", "r"])) == want
+
+
+def test_every_chunk_has_its_document(spark, table):
+    want, chunk = [], 0
+    for doc, text in sorted(table("documents", "doc_id", "text"), key=lambda x: x[0]):
+        for j in range(len((text or "").encode()) // 2048):
+            want.append((chunk, doc, j * 2048))
+            chunk += 1
+    assert sorted(rows(spark, "M12_chunk_to_file", ["chunk", "doc_id", "start"])) == want
+
+
+def test_chunks_beyond_the_helper_grid(spark, tmp_path):
+    ids = [None, -5, 1, 4095, 4096, 9000]
+    spark.createDataFrame([(d, "x" * (2048 * 2500 + i)) for i, d in enumerate(ids)] + [(2, "short"), (3, None)], "doc_id long, text string").selectExpr("*", "'a' AS source").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r.chunk, r.doc_id, r.start) for r in plans.queries()["M12_chunk_to_file"](spark, str(tmp_path)).collect())
+    assert got == [(i * 2500 + j, d, j * 2048) for i, d in enumerate(ids) for j in range(2500)]
