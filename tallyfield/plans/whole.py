@@ -7,11 +7,18 @@ whole answers against brute force.
 
 from __future__ import annotations
 
-from .sql import UNIT
+from .more import CI, _draws
+from .sql import DENSE, UNIT
 
 WHOLE: dict[str, str] = {
     # a running sum over the distinct values instead of one sort of all rows
     "W05_average_rank": "WITH k AS (SELECT l_quantity, count(*) AS c FROM lineitem GROUP BY l_quantity), s AS (SELECT l_quantity, sum(c) OVER (ORDER BY l_quantity ROWS UNBOUNDED PRECEDING) - c + 1 + (c - 1) / 2.0D AS r FROM k) SELECT /*+ BROADCAST(s) */ l_orderkey, l_linenumber, s.r FROM lineitem l JOIN s ON l.l_quantity <=> s.l_quantity",
     # offsets summed over ranges of ids, then within each; every document makes its own chunks
     "M12_chunk_to_file": f"WITH {UNIT}, u AS (SELECT doc_id, CAST(floor(size / 2048) AS BIGINT) AS k, floor(doc_id / 4096) AS r FROM unit), t AS (SELECT r, sum(sum(k)) OVER (ORDER BY r ROWS UNBOUNDED PRECEDING) - sum(k) AS before FROM u GROUP BY r), o AS (SELECT u.doc_id, k, before + sum(k) OVER (PARTITION BY u.r ORDER BY u.doc_id ROWS UNBOUNDED PRECEDING) - k AS lo FROM u JOIN t ON u.r <=> t.r) SELECT CAST(lo + j AS BIGINT) AS chunk, doc_id, CAST(j * 2048 AS BIGINT) AS start FROM (SELECT doc_id, lo, explode(sequence(CAST(0 AS BIGINT), k - 1)) AS j FROM o WHERE k > 0) q",
+    # all of the dense table
+    "P27_log_guards": f"WITH {DENSE} SELECT n, round(ln(greatest(c, 0.5)), 6) AS a, round(ln(c + 1), 6) AS b FROM den",
+    "W08_sliding_mean": f"WITH {DENSE} SELECT n, round(avg(c) OVER (ORDER BY n ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 6) AS m FROM den",
+    "F08_null_models": f"WITH {DENSE}, t AS (SELECT CAST(sum(c) AS DOUBLE) AS t FROM den WHERE n >= 1), g AS (SELECT n, exp(-0.5 * power((n - 5000.5) / 2499.75, 2)) AS g, 1.0 / n AS z FROM den WHERE n >= 1), s AS (SELECT sum(g) AS sg, sum(z) AS sz FROM g) SELECT n, round(t / 10000, 6) AS uniform, round(t * g / sg, 6) AS gaussian, round(t * z / sz, 6) AS zipf FROM g CROSS JOIN t CROSS JOIN s",
+    # 0 to 10000 are 101 blocks, the last of one number
+    "R12_block_bootstrap": f"WITH {DENSE}, k AS (SELECT CAST(floor(n / 100) AS INT) AS block, CAST(sum(c) AS DOUBLE) AS s FROM den GROUP BY 1), {_draws('101')}, b AS (SELECT rep, sum(s) AS v FROM pick JOIN k ON k.block = pick.at GROUP BY rep) SELECT {CI} FROM b",
 }

@@ -1,5 +1,8 @@
 """The queries of whole.py against brute force over whole tables."""
 
+import math
+
+import numpy as np
 import pytest
 
 from tallyfield import plans
@@ -40,3 +43,43 @@ def test_chunks_beyond_the_helper_grid(spark, tmp_path):
     spark.createDataFrame([(d, "x" * (2048 * 2500 + i)) for i, d in enumerate(ids)] + [(2, "short"), (3, None)], "doc_id long, text string").selectExpr("*", "'a' AS source").write.parquet(f"{tmp_path}/documents.parquet")
     got = sorted((r.chunk, r.doc_id, r.start) for r in plans.queries()["M12_chunk_to_file"](spark, str(tmp_path)).collect())
     assert got == [(i * 2500 + j, d, j * 2048) for i, d in enumerate(ids) for j in range(2500)]
+
+
+@pytest.fixture(scope="module")
+def dense(spark, tmp_path_factory):
+    """A lineitem table that fills the numbers up to 10,000, and its counts."""
+    keys = [n for n in range(0, 10001, 3) for _ in range(1 + n % 4)] + [10000] * 7 + [10001, -1]
+    path = str(tmp_path_factory.mktemp("dense"))
+    for name in ("lineitem", "part"):  # every table whose name is in the SQL is opened
+        spark.createDataFrame([(k,) for k in keys], "l_partkey long").write.parquet(f"{path}/{name}.parquet")
+    return path, [keys.count(n) for n in range(10001)]
+
+
+def test_whole_count_table(spark, dense):
+    path, c = dense
+
+    def found(name):
+        return {r.n: tuple(r)[1:] for r in plans.queries()[name](spark, path).collect()}
+
+    logs, means, null = found("P27_log_guards"), found("W08_sliding_mean"), found("F08_null_models")
+    assert logs == {n: (pytest.approx(math.log(max(k, 0.5)), abs=1e-6), pytest.approx(math.log(k + 1), abs=1e-6)) for n, k in enumerate(c)}
+    assert means == {n: (pytest.approx(np.mean(c[max(0, n - 2) : n + 3]), abs=1e-6),) for n in range(10001)}
+    assert set(null) == set(range(1, 10001))
+    assert [sum(x[i] for x in null.values()) for i in range(3)] == pytest.approx([sum(c[1:])] * 3, rel=1e-6)
+    assert null[10000][2] == pytest.approx(null[1][2] / 10000, abs=1e-5)
+
+
+def test_bootstrap_of_all_blocks(spark, dense):
+    path, c = dense
+    sums = [sum(c[i : i + 100]) for i in range(0, 10001, 100)]
+
+    def draw(i, rep):
+        x = (i + 1) * 7919 + rep * 104729
+        return (x * x % 2147483647 * 48271 + x) % 2147483647 % 101
+
+    picks = [[draw(i, rep) for i in range(101)] for rep in range(1, 51)]
+    assert {x for p in picks for x in p} == set(range(101))
+    want = np.percentile([sum(sums[x] for x in p) for p in picks], [2.5, 50, 97.5])
+    got = plans.queries()["R12_block_bootstrap"](spark, path).first()
+    assert (got.low, got.mid, got.high) == pytest.approx(tuple(want), abs=1e-5)
+    assert got.low < sum(c) < got.high
