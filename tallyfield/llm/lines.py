@@ -3,17 +3,18 @@ r"""Line dedup by a log-template tree of fixed depth.
 Every line descends a tree: its token count, then its first `depth` tokens,
 where a token with a digit counts as the variable field ``<*>``.  At a leaf,
 digit fields are already general; any other position at which the leaf holds
-more than `max_children` different tokens is general too, unless that leaves a
-line with fewer than `min_constant` of its tokens as constants (a leaf of prose
-generalises nothing).  What remains is the line's template.
+`min_texts` or more different tokens, or more than `max_children`, is general
+too, unless that leaves a line with fewer than `min_constant` of its tokens as
+constants (a leaf of prose generalises nothing).  What remains is the line's
+template.
 
 A template that `min_texts` or more different texts hold is recurring.  Its
 lines are dropped from all documents but the one with the smallest id among
 those that hold it, so one copy of everything stays in the corpus.  Copies of a
 whole text count as one text.
 
-Only DataFrame functions.  Leaves with `max_children` lines or fewer can't
-generalise and never reach the per-position count.  Hot lines are counted with
+Only DataFrame functions.  Leaves with too few lines for a position to be general
+never reach the per-position count.  Hot lines are counted with
 map-side partial sums, and meet their documents in a join that Spark can split.
 
 Behaviour: null and empty texts have no lines and come back as they are; blank
@@ -32,7 +33,7 @@ from .session import keep, ready
 FIELD = "<*>"
 
 
-#: Leaves that are sent to every task instead of being joined; 8 bytes each.
+#: Leaves, or texts, that are sent to every task instead of being joined; 8 bytes each.
 BROADCAST_LEAVES = 500_000
 
 
@@ -50,18 +51,26 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, depth: int) -> DataFrame
     return rows.withColumn("n", n).withColumn("path", F.xxhash64("n", F.substring_index("line", " ", depth))).withColumn("exact", F.xxhash64("line"))
 
 
-def general_templates(lines: DataFrame, held: DataFrame, depth: int = 3, max_children: int = 24, min_constant: float = 0.6) -> DataFrame:
+def general_templates(docs: DataFrame, held: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, max_children: int = 24, min_constant: float = 0.6, min_texts: int = 8) -> DataFrame:
     """(exact, merged): the lines whose leaf generalises more than digit fields, with the hash of their template.
 
-    held has the hashes of lines; the lines themselves are read only where a leaf is full.
+    held has the hashes of lines; the lines themselves are read only where a leaf is full,
+    and of the texts that have a line only one is split again.
     """
-    full = keep(held.where(F.col("n") > depth).groupBy("path", "exact").agg(F.lit(1).alias("one")).groupBy("path").agg(F.count("*").alias("n")).where(F.col("n") > max_children).select("path"))
+    most = min(max_children, max(2, min_texts) - 1)  # a template of min_texts texts recurs, so a field needs no more tokens than that
+    kinds = keep(held.where(F.col("n") > depth).groupBy("path", "exact").agg(F.min("version").alias("version")))
+    full = keep(kinds.groupBy("path").agg(F.count("*").alias("n")).where(F.col("n") > most).select("path"))
     small = full.count() <= BROADCAST_LEAVES
-    inside = lines.where(F.col("n") > depth).join(F.broadcast(full) if small else full, "path", "left_semi")
+    kinds = kinds.join(F.broadcast(full) if small else full, "path", "left_semi")
+    texts = keep(kinds.select(F.col("version").alias("_version")).distinct())
+    if texts.count() <= BROADCAST_LEAVES:
+        docs = docs.join(F.broadcast(texts), F.xxhash64(text_col) == F.col("_version"), "left_semi")
+    inside = _lines(docs, id_col, text_col, depth).where(F.col("n") > depth)
+    inside = inside.join(F.broadcast(full) if small else full, "path", "left_semi")
     forms = keep(inside.groupBy("path", "exact").agg(F.max("line").alias("line")).select("path", "exact", F.split("line", " ", -1).alias("tokens")))
     places = forms.select("path", F.posexplode("tokens").alias("pos", "token")).where(F.col("token") != FIELD)
     kinds = places.groupBy("path", "pos", F.xxhash64("token").alias("token")).agg(F.lit(1).alias("one")).groupBy("path", "pos").agg(F.count("*").alias("n"))
-    general = kinds.where(F.col("n") > max_children).groupBy("path").agg(F.collect_set("pos").alias("open"))
+    general = kinds.where(F.col("n") > most).groupBy("path").agg(F.collect_set("pos").alias("open"))
     opened = F.transform("tokens", lambda t, i: F.when(F.array_contains("open", i), FIELD).otherwise(t))
     merged = forms.join(general, "path").select("exact", "tokens", opened.alias("opened")).where(F.size(F.filter("opened", lambda t: t != FIELD)) >= min_constant * F.size("tokens"))
     return merged.select("exact", F.xxhash64(F.array_join("opened", " ")).alias("merged")).dropDuplicates(["exact"])
@@ -71,9 +80,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """docs with recurring lines taken out of text_col, and the columns n_lines and n_dropped (unless docs has such columns)."""
     ready(docs.sparkSession)
     names = docs.columns
-    lines = _lines(docs, id_col, text_col, depth)
-    held = keep(lines.select("doc", "version", "place", "n", "path", "exact"))
-    merged = keep(general_templates(lines, held, depth, **leaf))
+    held = keep(_lines(docs, id_col, text_col, depth).select("doc", "version", "place", "n", "path", "exact"))
+    merged = keep(general_templates(docs, held, id_col, text_col, depth, min_texts=min_texts, **leaf))
     held = held.join(merged, "exact", "left").select("doc", "version", "place", F.coalesce("merged", "exact").alias("template"))
     texts = held.groupBy("template", "version").agg(F.min("doc").alias("first")).groupBy("template").agg(F.count("*").alias("texts"), F.min("first").alias("first"))
     recurring = keep(texts.where(F.col("texts") >= min_texts).select("template", "first"))  # apart, so that the join below can split hot templates

@@ -151,6 +151,22 @@ def test_line_dedup(spark):
     assert all(got[i].text == f"own line {chr(97 + i)} of its kind\n\nlast {names[i]}" and got[i].n_dropped == 2 for i in range(1, 10))
 
 
+@pytest.mark.parametrize("texts", [8, 10, 24])
+def test_line_dedup_opens_names_by_default(spark, texts):
+    rows = [(i, f"own line {chr(97 + i)} of its kind\nshared by all of them and name{chr(97 + i)} too") for i in range(texts)]
+    got = {r.doc_id: r for r in lines.line_dedup(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got[0].text == rows[0][1]
+    assert all(got[i].text == f"own line {chr(97 + i)} of its kind" and got[i].n_dropped == 1 for i in range(1, texts))
+    fewer = lines.line_dedup(spark.createDataFrame(rows[:7], DOCS)).collect()
+    assert all(r.n_dropped == 0 for r in fewer)
+
+
+def test_line_dedup_keeps_prose_by_default(spark):
+    words = ["ash", "bay", "cob", "dun", "elm", "fir", "gum", "hay", "ivy", "jet"]
+    rows = [(i, " ".join(["one", "of", "the", *(words[(i + k) % 10] for k in range(6))])) for i in range(10)]
+    assert all(r.n_dropped == 0 for r in lines.line_dedup(spark.createDataFrame(rows, DOCS)).collect())
+
+
 @pytest.mark.parametrize("name", ["op1_chat_formatting", "op2_warc", "op4_ngram_jaccard", "op6_exact_top_k", "op7_substring_dedup"])
 def test_queries_with_oracle(spark, name):
     duckdb = pytest.importorskip("duckdb")
