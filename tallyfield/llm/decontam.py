@@ -275,6 +275,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """docs without those that hold a benchmark item."""
-    hit = keep(leaks(docs, benchmark, **how).select(F.col("doc_id").alias("_leak")).distinct())
-    return docs.join(hit, F.col("doc_id").cast("long") == F.col("_leak"), "left_anti")
+    """docs without the rows that hold a benchmark item; rows are told apart by id and text, so null and repeated ids follow their own text."""
+    key = F.xxhash64(how.pop("id_col", "doc_id"), how.get("text_col", "text"))
+    hit = keep(leaks(docs.withColumn("_row", key), benchmark, id_col="_row", **how).select(F.col("doc_id").alias("_leak")).distinct())
+    return docs.join(hit, key == F.col("_leak"), "left_anti")

@@ -245,6 +245,19 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def near_duplicates_removed(docs: DataFrame, **options) -> DataFrame:
-    """docs without those that are not the smallest id of their component."""
-    found = ngram_jaccard(docs, **options).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti")
+    """docs with exactly one row of each component: that with the smallest id, a null id only where no other has one.
+
+    Rows are told apart by id and text, so null and repeated ids follow their own
+    text; of rows equal in both, one stays.  Rows without n-grams all stay.
+    """
+    key = F.xxhash64("doc_id", "text")
+    found = ngram_jaccard(docs.select(key.alias("doc_id"), "text"), **options).where("n_shingles > 0")
+    found = keep(found.groupBy(F.col("doc_id").alias("_key"), "component_id").agg(F.count("*").alias("copies")))
+    ids = docs.select(key.alias("_key"), "doc_id").distinct()
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key"))
+    best = keep(found.join(ids, "_key").groupBy("component_id").agg(first.alias("first")).select("first._key"))
+    left = docs.withColumn("_key", key).join(found.join(best, "_key", "left_anti").select("_key"), "_key", "left_anti")
+    twice = keep(found.where("copies > 1").join(best, "_key", "left_semi").select("_key"))
+    if not twice.isEmpty():
+        left = left.join(twice, "_key", "left_anti").unionByName(left.join(twice, "_key", "left_semi").dropDuplicates(["_key"]))
+    return left.select(*docs.columns)

@@ -183,3 +183,16 @@ def test_queries_with_oracle(spark, name):
 @pytest.mark.parametrize("make", [jaccard.ngram_jaccard, substring.substring_dedup, sharding.shard_documents, lines.line_dedup, lambda d: spm.encode(d, queries.PIECES)])
 def test_empty(spark, make):
     assert make(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_filters_decide_by_row(spark):
+    rnd = random.Random(6)
+    item = " ".join(f"b{rnd.randrange(10**6)}" for _ in range(30))
+    a, b, c, d = (" ".join(f"c{rnd.randrange(5000)}" for _ in range(200)) for _ in range(4))
+    rows = [(None, a), (None, a), (3, a), (4, f"{a} end"), (5, b), (5, b), (5, c), (None, d), (None, d), (9, None), (9, None), (None, "")]
+    left = jaccard.near_duplicates_removed(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted(map(repr, map(tuple, left))) == sorted(map(repr, [(3, a), (5, b), (5, c), (None, d), (9, None), (9, None), (None, "")]))
+    rows = [(None, f"{a} {item} {b}"), (None, c), (6, f"{b} {item} {c}"), (6, d), (7, None), (None, None)]
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    left = decontam.decontaminated(spark.createDataFrame(rows, DOCS), bench).collect()
+    assert sorted(map(repr, map(tuple, left))) == sorted(map(repr, [(None, c), (6, d), (7, None), (None, None)]))
