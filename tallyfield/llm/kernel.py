@@ -15,6 +15,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 _M = np.uint64(0xFFFFFFFFFFFFFFFF)
 _SPACE = np.zeros(256, bool)
@@ -176,3 +178,70 @@ def runs(sorted_keys: np.ndarray) -> np.ndarray:
     if not len(sorted_keys):
         return np.zeros(0, np.int64)
     return np.concatenate(([0], np.flatnonzero(sorted_keys[1:] != sorted_keys[:-1]) + 1))
+
+
+#: log2 of the ranges that one flush of a task is cut into; more are made from these by another shuffle.
+FIRST_BITS = 12
+
+
+def grouped(batches):
+    """(part, blob) rows in order of part to (part, blobs) lists; a list is bounded by the size of a range."""
+    part, blobs = None, []
+    for b in batches:
+        for p, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            if p != part:
+                if blobs:
+                    yield part, blobs
+                part, blobs = p, []
+            blobs.append(x.as_py())
+    if blobs:
+        yield part, blobs
+
+
+def _finer(bits: int, to: int, flush: int = 1 << 20):
+    """Blobs of ranges of `bits` to those of the finer ranges of `to` bits."""
+
+    def run(batches):
+        for part, blobs in _parcels(batches, flush):
+            parts = [unpack(x) for x in blobs]
+            tables = [t for _, _, t in parts]
+            at = np.cumsum([0, *map(len, tables)])
+            keys = np.concatenate([k for k, _, _ in parts])
+            values = np.concatenate([v + a for (_, v, _), a in zip(parts, at, strict=False)])
+            table = np.concatenate(tables)
+            order = np.argsort(keys, kind="stable")
+            keys, values = keys[order], values[order]
+            edges = (np.uint64(part) << np.uint64(64 - bits)) + (np.arange(1, 1 << (to - bits), dtype=np.uint64) << np.uint64(64 - to))
+            cuts = np.concatenate(([0], np.searchsorted(keys, edges, "left"), [len(keys)]))
+            out = []
+            for r in np.flatnonzero(np.diff(cuts)):
+                own, value = np.unique(table[values[cuts[r] : cuts[r + 1]]], return_inverse=True) if len(table) else (table, values[cuts[r] : cuts[r + 1]])
+                out.append(((part << (to - bits)) + int(r), pack(keys[cuts[r] : cuts[r + 1]], value, own)))
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], names=["part", "blob"])
+
+    return run
+
+
+def _parcels(batches, flush: int):
+    """As grouped, but a long list comes in parcels of about `flush` bytes."""
+    part, blobs, n = None, [], 0
+    for b in batches:
+        for p, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            if blobs and (p != part or n >= flush):
+                yield part, blobs
+                blobs, n = [], 0
+            part = p
+            blobs.append(x.as_py())
+            n += len(blobs[-1])
+    if blobs:
+        yield part, blobs
+
+
+def in_ranges(blobs: DataFrame, bits: int) -> DataFrame:
+    """(part, blob) rows of min(bits, FIRST_BITS) ranges, to rows of 2**bits ranges that stand together, in order, in one task each."""
+    now = min(bits, FIRST_BITS)
+    while now < bits:
+        to = min(bits, now + FIRST_BITS)
+        blobs = blobs.repartition("part").sortWithinPartitions("part").mapInArrow(_finer(now, to), "part long, blob binary")
+        now = to
+    return blobs.repartition(F.col("part")).sortWithinPartitions("part")

@@ -29,6 +29,11 @@ def fresh_path(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
+def ranges_for(entries: int, each: int, least: int = 5) -> int:
+    """log2 of the number of key ranges that hold about `each` of so many entries."""
+    return max(least, math.ceil(math.log2(max(1.0, entries / each))))
+
+
 def range_bits(spark: SparkSession, least: int = 5, most: int = 14) -> int:
     """log2 of the number of key ranges: as many as shuffle partitions, which users scale with their data."""
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -38,3 +43,11 @@ def range_bits(spark: SparkSession, least: int = 5, most: int = 14) -> int:
 def keep(df: DataFrame) -> DataFrame:
     """Materialise in the shared folder and cut the lineage there."""
     return df.checkpoint(eager=True)
+
+
+def unused(name: str, *frames: DataFrame) -> str:
+    """A column name that none of the frames has, whatever its case."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
