@@ -1,24 +1,26 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Documents are cut into passages of PASSAGE words that overlap by half.  Over the
-words of the benchmark, passages are TF-IDF vectors; document frequencies come
-from all documents.  A randomised SVD (a one-pass Nystroem sketch: every task
-adds up A'A times a random matrix, and only that sum, of vocabulary by rank
-numbers, reaches the driver) gives the latent space; the benchmark's own
-passages enter it with the weight of the corpus, so that their directions stay.
-Passages whose cosine to an item reaches `cosine` are candidates.  A candidate
-is a leak if the longest common subsequence of the item's words and the
-passage's surroundings covers `covered` of the item, or `paraphrased` of it and
-nearly all of its answer (its last sentence).
-
-The benchmark is worked through in blocks of ITEMS items, each with a vocabulary
-of its own, so what is broadcast is bounded whatever the benchmark's size.
+words of the benchmark, hashed to TERMS terms, passages are TF-IDF vectors;
+document frequencies come from all documents.  A randomised SVD (a one-pass
+Nystroem sketch: every task adds up A'A times a random matrix, and only that
+sum, of terms by rank numbers, reaches the driver) gives the latent space; the
+benchmark's own passages enter it with the weight of the corpus, so that their
+directions stay.  Passages whose cosine to an item reaches `cosine` are
+candidates.  A candidate is a leak if the longest common subsequence of the
+item's words and the passage's surroundings covers `covered` of the item, or
+`paraphrased` of it and nearly all of its answer (its last sentence).
+
+Terms, weights, rank and basis are those of the whole benchmark, whatever its
+size: at most TERMS by `rank` numbers.  Documents are then searched for ITEMS
+items a pass; which items share a pass changes nothing.
 Words: letters, digits and bytes beyond ASCII, with A-Z as a-z.
 
 Behaviour: null and empty texts have no passages; items without words match
 nothing, items of fewer than MINIMUM words must be found whole; equal items are
-reported each; rows without an id come back with a null id; an empty table on
-either side gives no rows.
+reported each, and repeated rows of documents too; of equal finds in one
+document the first passage is named; rows without an id come back with a null
+id; an empty table on either side gives no rows; other columns play no part.
 """
 
 from __future__ import annotations
@@ -32,14 +34,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
-from .session import keep, ready
+from .session import keep, ready, unused
 
 PASSAGE = 64
 STRIDE = 32
-#: Benchmark items in a block.
+#: Benchmark items searched for in one pass over the documents.
 ITEMS = 4000
-#: Numbers in the sketch; the rank is lowered where a block's vocabulary would exceed it.
-SKETCH = 2_000_000
+#: Terms that words are hashed to, and bits of the hash that tell whether a word is the benchmark's.
+TERMS = 1 << 15
+MEMBER_BITS = 22
+#: Passages that are compared with all items of a pass at once.
+AT_ONCE = 2048
 MINIMUM = 8
 
 
@@ -68,34 +73,37 @@ class Item:
         return self.n - v.bit_count(), self.answer - (v >> (self.n - self.answer)).bit_count()
 
 
-def read_items(rows: list[tuple[int, str]]) -> tuple[list[Item], np.ndarray, list[np.ndarray]]:
-    """Items, their vocabulary as sorted hashes, and each item's places in it."""
+def read_items(rows: list[tuple[int, str]]) -> tuple[list[Item], list[np.ndarray]]:
+    """Items, and the word hashes of each."""
     w = _plain([t for _, t in rows])
     items, all_hashes = [], [w.hash[a:b] for a, b in pairwise(w.first)]
     for (item_id, text), hashes in zip(rows, all_hashes, strict=True):
         sentences = [s for s in re.split(r"(?<=[.!?])\s+|\n", text or "") if len(_plain([s]).hash)]
         answer = len(_plain(sentences[-1:]).hash) if len(sentences) > 1 else 0
         items.append(Item(item_id, hashes.tolist(), answer))
-    vocabulary = np.unique(w.hash)
-    return items, vocabulary, [np.searchsorted(vocabulary, h) for h in all_hashes]
+    return items, all_hashes
 
 
-def _places(column, vocabulary: np.ndarray) -> tuple[kernel.Words, np.ndarray, np.ndarray]:
-    """(words, places of those in the vocabulary, their terms)."""
+def _term(hashes: np.ndarray) -> np.ndarray:
+    return (hashes % np.uint64(TERMS)).astype(np.int64)
+
+
+def _bucket(hashes: np.ndarray) -> np.ndarray:
+    return ((hashes >> np.uint64(20)) % np.uint64(4096)).astype(np.int64)
+
+
+def _places(column, member: np.ndarray) -> tuple[kernel.Words, np.ndarray]:
+    """(words, places of those that the benchmark has)."""
     w = kernel.words(column, lower=True, between=kernel.PLAIN)
-    at = np.searchsorted(vocabulary, w.hash)
-    at[at == len(vocabulary)] = 0
-    found = np.flatnonzero(vocabulary[at] == w.hash)
-    return w, found, at[found]
+    return w, np.flatnonzero(member[w.hash >> np.uint64(64 - MEMBER_BITS)])
 
 
 def _frequencies(shared):
     def run(batches):
-        vocabulary = shared.value
-        df, n = np.zeros(len(vocabulary), np.int64), 0
+        df, n = np.zeros(TERMS, np.int64), 0
         for b in batches:
-            w, found, term = _places(b.column(0), vocabulary)
-            df += np.bincount(np.unique(w.text[found] * len(vocabulary) + term) % len(vocabulary), minlength=len(vocabulary))
+            w, found = _places(b.column(0), shared.value)
+            df += np.bincount(np.unique(w.text[found] * TERMS + _term(w.hash[found])) % TERMS, minlength=TERMS)
             n += len(b)
         seen = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(seen, -1)), pa.array(np.append(df[seen], n))], names=["term", "df"])
@@ -104,10 +112,14 @@ def _frequencies(shared):
 
 
 class Passages:
-    """The passages of a batch that hold at least `least` informative words, as a sparse matrix: text, start word, and rows of unit length."""
+    """The passages of a batch that hold at least `least` informative words, as a sparse matrix: text, start word, and rows of unit length.
+
+    place: of a term among the informative ones, or -1; idf: of the informative ones.
+    """
 
-    def __init__(self, w: kernel.Words, found: np.ndarray, term: np.ndarray, idf: np.ndarray, least: int = 3):
-        told = idf[term] > 0
+    def __init__(self, w: kernel.Words, found: np.ndarray, place: np.ndarray, idf: np.ndarray, least: int = 3):
+        term = place[_term(w.hash[found])]
+        told = term >= 0
         found, term = found[told], term[told]
         text = w.text[found]
         pos = found - w.first[text]
@@ -140,8 +152,9 @@ class Passages:
         return np.add.reduceat(self.weight[:, None] * basis[self.term], self.start)
 
     def slices(self, most: int = 1 << 15):
-        """Parts of about `most` entries each."""
-        cuts = np.unique(np.searchsorted(self.start, np.arange(0, len(self.term) + most, most)))
+        """Parts of about `most` entries and at most AT_ONCE passages each."""
+        rows = len(self.start)
+        cuts = np.unique(np.concatenate((np.searchsorted(self.start, np.arange(0, len(self.term) + most, most)), np.arange(0, rows, AT_ONCE), [rows])))
         for a, b in pairwise(cuts):
             part = object.__new__(Passages)
             lo = self.start[a]
@@ -153,10 +166,10 @@ class Passages:
 
 def _sketch(shared, blocks: int = 16):
     def run(batches):
-        vocabulary, idf, omega = shared.value
+        member, place, idf, omega = shared.value
         y, n = np.zeros(omega.shape, np.float32), 0
         for b in batches:
-            for p in Passages(*_places(b.column(0), vocabulary), idf).slices():
+            for p in Passages(*_places(b.column(0), member), place, idf).slices():
                 back = np.repeat(p.project(omega), p.size, axis=0) * p.weight[:, None]
                 order = np.argsort(p.term, kind="stable")
                 start = kernel.runs(p.term[order])
@@ -196,24 +209,43 @@ def _latent(rows: np.ndarray) -> np.ndarray:
 
 def _search(shared, cosine: float, covered: float, paraphrased: float):
     def run(batches):
-        vocabulary, idf, basis, items, told = shared.value
+        member, place, idf, basis, items, told = shared.value
+        # the least common words that make item j a leak, its size, and which of 4096 buckets its words are in
+        size_of = np.array([item.n for item in items])
+        least = np.where(size_of < MINIMUM, size_of, min(covered, paraphrased) * size_of)
+        buckets = np.zeros((len(items), 4096), bool)
+        for j, item in enumerate(items):
+            buckets[j, _bucket(np.fromiter(item.masks, np.uint64, len(item.masks)))] = True
         for b in batches:
-            w, found, term = _places(b.column(1), vocabulary)
+            w, found = _places(b.column(1), member)
+            hashes = w.hash[found]
+            bucket = _bucket(hashes)
             out = []
             best: dict[tuple[int, int], tuple] = {}
-            for p in Passages(w, found, term, idf, 1).slices():
+            for p in Passages(w, found, place, idf, 1).slices():
                 near = _latent(p.project(basis)) @ told.T
-                for i, j in zip(*np.nonzero(near >= cosine), strict=True):
-                    item, text = items[j], int(p.text[i])
-                    first = int(w.first[text])
-                    lo = max(first, first + int(p.word[i]) - item.n)
-                    hi = min(int(w.first[text + 1]), first + int(p.word[i]) + PASSAGE + item.n)
-                    size, answer = item.common(w.hash[lo:hi].tolist())
-                    whole = size == item.n
-                    if whole or item.n >= MINIMUM and (size >= covered * item.n or size >= paraphrased * item.n and item.answer and answer >= 0.9 * item.answer):
-                        old = best.get((text, int(j)))
-                        if old is None or (size, near[i, j]) > old[:2]:
-                            best[text, int(j)] = (size, near[i, j], int(p.word[i]))
+                i, j = np.nonzero(near >= cosine)
+                text, word = p.text[i], p.word[i]
+                first = w.first[text]
+                # the item may start before the passage or end behind it; words outside the benchmark are in no item
+                lo = np.searchsorted(found, np.maximum(first, first + word - size_of[j]))
+                hi = np.searchsorted(found, np.minimum(w.first[text + 1], first + word + PASSAGE + size_of[j]))
+                ok = hi - lo >= np.maximum(least[j], 1)
+                i, j, text, word, lo, hi = (x[ok] for x in (i, j, text, word, lo, hi))
+                if not len(i):
+                    continue
+                length = hi - lo
+                start = np.cumsum(length) - length
+                at = np.arange(length.sum()) + np.repeat(lo - start, length)
+                has = buckets[np.repeat(j, length), bucket[at]]
+                for k in np.flatnonzero(np.add.reduceat(has, start, dtype=np.int64) >= least[j]).tolist():
+                    item, here = items[j[k]], slice(start[k], start[k] + length[k])
+                    size, answer = item.common(hashes[at[here][has[here]]].tolist())
+                    if size == item.n or item.n >= MINIMUM and (size >= covered * item.n or size >= paraphrased * item.n and item.answer and answer >= 0.9 * item.answer):
+                        key, cos = (int(text[k]), int(j[k])), near[i[k], j[k]]
+                        old = best.get(key)
+                        if old is None or (size, cos) > old[:2]:
+                            best[key] = (size, cos, int(word[k]))
             for (text, j), (size, cos, word) in sorted(best.items()):
                 out.append((text, items[j].id, size, items[j].n, round(float(cos), 3), word))
             cols = list(zip(*out, strict=True)) or [()] * 6
@@ -226,56 +258,85 @@ def _search(shared, cosine: float, covered: float, paraphrased: float):
 _FOUND = "doc_id long, item_id long, common_words long, item_words long, cosine double, passage_start long"
 
 
-def _block(texts: DataFrame, rows: list[tuple[int, str]], rank: int, cosine: float, covered: float, paraphrased: float, common: float, seed: int) -> DataFrame | None:
-    sc = texts.sparkSession.sparkContext
-    items, vocabulary, places = read_items(rows)
-    if not len(vocabulary):
-        return None
-    counts = texts.select("text").mapInArrow(_frequencies(sc.broadcast(vocabulary)), "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
-    df = np.zeros(len(vocabulary) + 1)
-    df[counts.column("term").to_numpy()] = counts.column("df").to_numpy()
-    n, df = df[-1], df[:-1]
-    idf = np.log((n + 1) / (df + 1)) + 1e-3
-    # common words tell nothing; but every item keeps its rarest ones
-    told = idf > np.log(1 / common)
-    for terms in places:
-        told[terms[np.argsort(-idf[terms], kind="stable")[:MINIMUM]]] = True
-    idf = np.where(told, idf, 0)
-    width = max(8, min(rank, SKETCH // len(vocabulary), len(vocabulary)))
-    omega = np.random.default_rng(seed).standard_normal((len(vocabulary), width)).astype(np.float32)
-    sums = texts.select("text").mapInArrow(_sketch(sc.broadcast((vocabulary, idf, omega))), "block long, n long, y binary")
-    sums = sums.groupBy("block").applyInArrow(lambda t: pa.Table.from_batches(list(_added(t.to_batches()))), "block long, n long, y binary").toArrow().sort_by("block")
-    y = np.frombuffer(b"".join(sums.column("y").to_pylist()), np.float64).reshape(len(vocabulary), width).copy() if sums.num_rows else np.zeros(omega.shape)
-    passages = sums.column("n")[0].as_py() if sums.num_rows else 0
-    own = np.zeros((len(items), len(vocabulary)), np.float32)
-    for row, terms in zip(own, places, strict=True):
-        term, tf = np.unique(terms, return_counts=True)
-        row[term] = (1 + np.log(tf)) * idf[term]
-    own = _latent(own)
-    y += max(1.0, passages / len(items)) * (own.T @ (own @ omega))
-    basis = nystroem(y, omega.astype(np.float64), width).astype(np.float32)
-    shared = sc.broadcast((vocabulary, idf, basis, items, _latent(own @ basis)))
-    return texts.mapInArrow(_search(shared, cosine, covered, paraphrased), _FOUND)
+def _passes(benchmark: DataFrame, passes: int):
+    """The benchmark's items, ITEMS or so at a time; the driver holds one part."""
+    for part in range(passes):
+        rows = [tuple(r) for r in benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == part).orderBy("item_id", "text").toLocalIterator()]
+        if rows:
+            yield read_items(rows)
+
+
+def _item_rows(hashes: list[np.ndarray], place: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(item, term, weight) of items as TF-IDF rows of unit length."""
+    row = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])
+    term = place[_term(np.concatenate(hashes))]
+    key, tf = np.unique((row * len(idf) + term)[term >= 0], return_counts=True)
+    row, term = key // len(idf), key % len(idf)
+    weight = (1 + np.log(tf)) * idf[term]
+    norm = np.sqrt(np.bincount(row, weights=weight**2, minlength=len(hashes)))
+    return row, term, weight / norm[row]
+
+
+def _projected(row, term, weight, n: int, basis: np.ndarray) -> np.ndarray:
+    out = np.zeros((n, basis.shape[1]))
+    start = kernel.runs(row)
+    if len(start):
+        out[row[start]] = np.add.reduceat(weight[:, None] * basis[term], start)
+    return out
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", rank: int = 160, cosine: float = 0.25, covered: float = 0.7, paraphrased: float = 0.5, common: float = 0.02, seed: int = 3) -> DataFrame:
     """(doc_id, item_id, common_words, item_words, cosine, passage_start) of every benchmark item found in a document."""
     spark = docs.sparkSession
+    sc = spark.sparkContext
     ready(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     items = benchmark.where(F.col(item_text).isNotNull()).select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("text"))
-    blocks = max(1, -(-items.count() // ITEMS))
+    n_items = items.count()
+    passes = max(1, -(-n_items // ITEMS))
+    member, terms = np.zeros(1 << MEMBER_BITS, bool), np.zeros(TERMS, bool)
+    for _, hashes in _passes(items, passes):
+        for h in hashes:
+            member[h >> np.uint64(64 - MEMBER_BITS)] = True
+            terms[_term(h)] = True
+    if not terms.any():
+        return spark.createDataFrame([], _FOUND)
+    counts = texts.select("text").mapInArrow(_frequencies(sc.broadcast(member)), "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
+    df = np.zeros(TERMS + 1)
+    df[counts.column("term").to_numpy()] = counts.column("df").to_numpy()
+    n, df = df[-1], df[:-1]
+    idf = np.log((n + 1) / (df + 1)) + 1e-3
+    # common words tell nothing; but every item keeps its rarest ones
+    told = terms & (idf > np.log(1 / common))
+    for _, hashes in _passes(items, passes):
+        for h in hashes:
+            term = _term(h)
+            told[term[np.argsort(-idf[term], kind="stable")[:MINIMUM]]] = True
+    place = np.full(TERMS, -1)
+    place[told] = np.arange(told.sum())
+    idf = idf[told]
+    width = min(rank, len(idf))
+    omega = np.random.default_rng(seed).standard_normal((TERMS, width)).astype(np.float32)[told]
+    sums = texts.select("text").mapInArrow(_sketch(sc.broadcast((member, place, idf, omega))), "block long, n long, y binary")
+    sums = sums.groupBy("block").applyInArrow(lambda t: pa.Table.from_batches(list(_added(t.to_batches()))), "block long, n long, y binary").toArrow().sort_by("block")
+    y = np.frombuffer(b"".join(sums.column("y").to_pylist()), np.float64).reshape(len(idf), width).copy() if sums.num_rows else np.zeros(omega.shape)
+    passages = sums.column("n")[0].as_py() if sums.num_rows else 0
+    for _, hashes in _passes(items, passes):
+        row, term, weight = _item_rows(hashes, place, idf)
+        np.add.at(y, term, max(1.0, passages / n_items) * weight[:, None] * _projected(row, term, weight, len(hashes), omega)[row])
+    basis = nystroem(y, omega.astype(np.float64), width).astype(np.float32)
     found = None
-    for part in range(blocks):
-        rows = [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == part).orderBy("item_id", "text").toLocalIterator()]
-        new = _block(texts, rows, rank, cosine, covered, paraphrased, common, seed) if rows else None
-        if new is not None:
-            found = new if found is None else found.union(new)
-    return spark.createDataFrame([], _FOUND) if found is None else found
+    for some, hashes in _passes(items, passes):
+        own = _latent(_projected(*_item_rows(hashes, place, idf), len(hashes), basis)).astype(np.float32)
+        new = texts.mapInArrow(_search(sc.broadcast((member, place, idf, basis, some, own)), cosine, covered, paraphrased), _FOUND)
+        found = new if passes == 1 else keep(new) if found is None else found.unionByName(keep(new))
+    return found
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
+def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """docs without the rows that hold a benchmark item; rows are told apart by id and text, so null and repeated ids follow their own text."""
-    key = F.xxhash64(how.pop("id_col", "doc_id"), how.get("text_col", "text"))
-    hit = keep(leaks(docs.withColumn("_row", key), benchmark, id_col="_row", **how).select(F.col("doc_id").alias("_leak")).distinct())
-    return docs.join(hit, key == F.col("_leak"), "left_anti")
+    row = F.xxhash64(id_col, text_col)
+    keyed = docs.select(row.alias("doc_id"), F.col(text_col).alias("text"))
+    leak = unused("leak", docs)
+    hit = keep(leaks(keyed, benchmark, **how).select(F.col("doc_id").alias(leak)).distinct())
+    return docs.join(hit, row == F.col(leak), "left_anti")
