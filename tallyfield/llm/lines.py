@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .session import keep, ready
+from .session import keep, ready, unused
 
 FIELD = "<*>"
 
@@ -76,8 +76,8 @@ def general_templates(docs: DataFrame, held: DataFrame, id_col: str = "doc_id",
     return merged.select("exact", F.xxhash64(F.array_join("opened", " ")).alias("merged")).dropDuplicates(["exact"])
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_texts: int = 8, depth: int = 3, **leaf) -> DataFrame:
-    """docs with recurring lines taken out of text_col, and the columns n_lines and n_dropped (unless docs has such columns)."""
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_texts: int = 8, depth: int = 3, lines_col: str = "n_lines", dropped_col: str = "n_dropped", **leaf) -> DataFrame:
+    """docs with recurring lines taken out of text_col, and the counts lines_col and dropped_col (each unless docs has such a column)."""
     ready(docs.sparkSession)
     names = docs.columns
     held = keep(_lines(docs, id_col, text_col, depth).select("doc", "version", "place", "n", "path", "exact"))
@@ -88,10 +88,12 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     dropped = held.join(recurring, "template").where(~F.col("doc").eqNullSafe(F.col("first")))
     # rows are told apart by id and text, so that repeated ids with other texts keep their own lines
     none = F.lit(-(1 << 62))
-    out = keep(dropped.groupBy(F.coalesce("doc", none).alias("_doc"), F.col("version").alias("_version")).agg(F.collect_set("place").alias("_gone")))
-    rows = docs.withColumn("_doc", F.coalesce(F.col(id_col).cast("long"), none)).withColumn("_version", F.xxhash64(text_col)).join(out, ["_doc", "_version"], "left")
+    doc, version, gone = (unused(c, docs) for c in ("doc", "version", "gone"))
+    out = keep(dropped.groupBy(F.coalesce("doc", none).alias(doc), F.col("version").alias(version)).agg(F.collect_set("place").alias(gone)))
+    rows = docs.withColumn(doc, F.coalesce(F.col(id_col).cast("long"), none)).withColumn(version, F.xxhash64(text_col)).join(out, [doc, version], "left")
     pieces = F.split(text_col, "\n", -1)
-    left = F.array_join(F.filter(pieces, lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    columns = [F.when(F.col("_gone").isNull(), F.col(c)).otherwise(left).alias(c) if c == text_col else F.col(f"`{c}`") for c in names]
-    more = {"n_lines": F.when(F.length(text_col) > 0, F.size(pieces)).otherwise(0), "n_dropped": F.coalesce(F.size("_gone"), F.lit(0))}
+    # one pass over the lines, however many go: the places that stay, then their lines
+    stay = F.transform(F.array(pieces), lambda p: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(p) - 1), F.col(gone)), lambda i: F.get(p, i)), "\n"))
+    columns = [F.when(F.col(gone).isNull(), F.col(c)).otherwise(stay[0]).alias(c) if c == text_col else F.col(f"`{c}`") for c in names]
+    more = {lines_col: F.when(F.length(text_col) > 0, F.size(pieces)).otherwise(0), dropped_col: F.coalesce(F.size(gone), F.lit(0))}
     return rows.select(*columns, *(c.alias(n) for n, c in more.items() if n not in names))
