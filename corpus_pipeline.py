@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and returns the columns of documents, the
 last one the tokens.  Stages are apart: what one returns is written as Parquet
 and read again as the next one's docs.
+
+Behaviour of every stage: rows with null or empty texts and rows without an id
+stay unless the stage's operator decides about them by what they have; of equal
+rows the third stage keeps one if they have words, the others decide alike for
+each; empty tables pass through; columns beyond those of documents stay as they
+are, whatever their names.
 """
 
 from __future__ import annotations
@@ -14,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tallyfield.llm import decontam, jaccard, lines, quality, spm
 from tallyfield.llm.queries import PIECES, table
-from tallyfield.llm.session import fresh_path, ready
+from tallyfield.llm.session import fresh_path, ready, unused
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,8 +30,9 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without recurring lines; those of which nothing is left go.  n_chars follows the text."""
-    out = lines.line_dedup(docs).where((F.col("n_dropped") == 0) | (F.trim("text") != ""))
-    return out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    dropped = unused("n_dropped", docs)
+    out = lines.line_dedup(docs, lines_col=unused("n_lines", docs), dropped_col=dropped).where((F.col(dropped) == 0) | (F.trim("text") != ""))
+    return out.withColumn("n_chars", F.when(F.col(dropped) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +58,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("sentencepiece", tokens),
 ]
 
-#: SQL expresses neither the classifier nor the transducer; tests/llm compares run() with its parts.
+#: SQL expresses neither the classifier nor the transducer; tests/llm holds run() against its parts and against brute force.
 ORACLE_SQL = None
 
 
