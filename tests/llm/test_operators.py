@@ -8,7 +8,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tallyfield.llm import chat, decontam, jaccard, lines, quality, queries, sharding, spm, substring, topk, warc
+from tallyfield.llm import chat, decontam, jaccard, kernel, lines, quality, queries, sharding, spm, substring, topk, warc
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -43,10 +43,43 @@ def test_ngram_jaccard(spark):
                     group[i] = group[j] = min(group[i], group[j])
     low = {g: min((rows[i][0] for i in range(len(rows)) if group[i] == g and rows[i][0] is not None), default=None) for g in set(group)}
     want = sorted(((i, len(s), low[g]) for (i, _), s, g in zip(rows, sets, group, strict=True)), key=repr)
-    got = jaccard.ngram_jaccard(spark.createDataFrame(rows, DOCS).withColumn("cls", F.lit(1)), pivot_rounds=1).collect()
+    got = jaccard.ngram_jaccard(spark.createDataFrame(rows, DOCS).withColumn("cls", F.lit(1))).collect()
     assert sorted(map(tuple, got), key=repr) == want
 
 
+def test_ngram_jaccard_in_small_blocks(spark, monkeypatch):
+    """Tiles in many blocks, dense columns and ranges cut twice give what the defaults give."""
+    docs = spark.createDataFrame(corpus(8, 240), DOCS)
+    want = sorted(map(tuple, jaccard.ngram_jaccard(docs).collect()), key=repr)
+    for name, value in (("TILE_ROWS", 3), ("DENSE", 3), ("RANGE", 16)):
+        monkeypatch.setattr(jaccard, name, value)
+    monkeypatch.setattr(kernel, "FIRST_BITS", 4)
+    assert sorted(map(tuple, jaccard.ngram_jaccard(docs).collect()), key=repr) == want
+
+
+def test_tile_links_against_brute_force():
+    import numpy as np
+
+    rnd = random.Random(9)
+    for dense in (2, 40):
+        jaccard.DENSE, old = dense, jaccard.DENSE
+        for _ in range(20):
+            base = [rnd.sample(range(60), 24) for _ in range(3)]
+            rows = [sorted({rnd.choice((x, x, x, x, x, 100 + rnd.randrange(40))) for x in rnd.choice(base)}) for _ in range(30)]
+            tile = np.sort(np.array([rnd.randrange(3) for _ in rows]))
+            n = np.array([len(r) for r in rows])
+            a, b = jaccard.tile_links(tile, n, n, np.concatenate(rows), np.arange(30), np.zeros(30, int), 60)
+            group, want = list(range(30)), list(range(30))
+            links = [(i, j) for i in range(30) for j in range(i) if tile[i] == tile[j] and 100 * len({*rows[i]} & {*rows[j]}) >= 60 * len({*rows[i]} | {*rows[j]})]
+            for _ in rows:
+                for x, y in zip(a.tolist(), b.tolist(), strict=True):
+                    group[x] = group[y] = min(group[x], group[y])
+                for x, y in links:
+                    want[x] = want[y] = min(want[x], want[y])
+            assert group == want
+        jaccard.DENSE = old
+
+
 def test_substring_dedup(spark):
     rows = sorted(((i, t) for i, t in corpus(2) if i is not None), key=lambda r: r[0])
     first, want = {}, []
@@ -196,3 +229,37 @@ def test_filters_decide_by_row(spark):
     bench = spark.createDataFrame([(7, item)], "item_id long, text string")
     left = decontam.decontaminated(spark.createDataFrame(rows, DOCS), bench).collect()
     assert sorted(map(repr, map(tuple, left))) == sorted(map(repr, [(None, c), (6, d), (7, None), (None, None)]))
+
+
+def test_pipeline_against_its_parts(spark):
+    """run() keeps what the parts keep, one after another, and no text's copy or near copy by brute force."""
+    import corpus_pipeline
+
+    docs = queries.table(spark, SF, "documents")
+    got = {r.doc_id: r for r in corpus_pipeline.run(spark, SF).collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        rows = [tuple(r) for r in out.collect()]
+        before = {r.doc_id for r in docs.collect()}
+        assert {r[0] for r in rows} <= before and len(rows) == len({r[0] for r in rows})
+        docs = spark.createDataFrame(rows, docs.schema)
+    library = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=queries.PIECES)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert set(got) == set(texts) and all(got[i].token_ids == library.encode(t) for i, t in texts.items())
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (WORD.findall(t.lower()) for t in texts.values())]
+    assert not any(100 * len(a & b) >= 75 * len(a | b) for i, a in enumerate(sets) for b in sets[:i] if a and b)
+
+
+def test_filters_with_clashing_columns(spark):
+    rows = [(i, f"own words of text {chr(97 + i)} here\nshared by all of them and more", i) for i in range(9)]
+    docs = spark.createDataFrame(rows, DOCS + ", x long")
+    for name in ("doc", "gone", "n_dropped"):
+        own = docs.withColumnRenamed("x", name)
+        out = lines.line_dedup(own)
+        assert [r[name] for r in out.orderBy("doc_id").collect()] == list(range(9)), name
+        if name == "doc":
+            assert jaccard.near_duplicates_removed(own).columns == own.columns
+    bench = spark.createDataFrame([(1, "a b")], "item_id long, text string")
+    assert decontam.decontaminated(docs.withColumnRenamed("x", "leak"), bench).count() == 9
+    assert jaccard.near_duplicates_removed(docs.withColumnRenamed("x", "row_key")).count() == 9
