@@ -37,7 +37,7 @@ MORE: dict[str, str] = {
     "J01_three_way": "SELECT r_name, n_name, count(*) AS suppliers FROM region JOIN nation ON n_regionkey = r_regionkey JOIN supplier ON s_nationkey = n_nationkey GROUP BY r_name, n_name",
     "J13_best_match": "SELECT n_name, b.best FROM nation LEFT JOIN (SELECT s_nationkey, {MAXBY}(s_suppkey, s_acctbal) AS best FROM supplier GROUP BY s_nationkey) b ON b.s_nationkey = n_nationkey",
     # fits
-    "F10_regime_map": f"WITH {DENSE}, t AS (SELECT CAST(sum(c) AS DOUBLE) AS t, sum(1.0 / n) AS h, sum(exp(-0.5 * power((n - 5000.5) / 2499.75, 2))) AS g FROM den WHERE n >= 1), e AS (SELECT n, abs(ln(c / t * 10000.0)) AS u, abs(ln(c / t / (exp(-0.5 * power((n - 5000.5) / 2499.75, 2)) / g))) AS ga, abs(ln(c / t * n * h)) AS zi FROM den CROSS JOIN t WHERE n >= 1 AND c > 0) SELECT CASE WHEN u <= ga AND u <= zi THEN 'uniform' WHEN ga <= zi THEN 'gaussian' ELSE 'zipf' END AS regime, count(*) AS k FROM e GROUP BY 1",
+    "F10_regime_map": f"WITH {DENSE}, t AS (SELECT CAST(sum(c) AS DOUBLE) AS t, sum(1.0 / n) AS h, sum(exp(-0.5 * power((n - 5000.5) / 2499.75, 2))) AS g FROM den WHERE n >= 1), e AS (SELECT n, abs(ln(greatest(c / t, 1e-30) * 10000.0)) AS u, abs(ln(greatest(c / t, 1e-30) / (exp(-0.5 * power((n - 5000.5) / 2499.75, 2)) / g))) AS ga, abs(ln(greatest(c / t, 1e-30) * n * h)) AS zi FROM den CROSS JOIN t WHERE n >= 1) SELECT CASE WHEN u <= ga AND u <= zi THEN 'uniform' WHEN ga <= zi THEN 'gaussian' ELSE 'zipf' END AS regime, count(*) AS k FROM e GROUP BY 1",
     "F12_features": f"""WITH {DENSE}, t AS (SELECT CAST(sum(c) AS DOUBLE) AS t FROM den WHERE n >= 1)
 SELECT CAST(sum(c) AS BIGINT) AS total, round(sum(CASE WHEN n < 10 THEN c ELSE 0 END) / max(t), 6) AS d1, round(sum(CASE WHEN n BETWEEN 10 AND 99 THEN c ELSE 0 END) / max(t), 6) AS d2,
   round(sum(CASE WHEN n BETWEEN 100 AND 999 THEN c ELSE 0 END) / max(t), 6) AS d3, round(sum(CASE WHEN n BETWEEN 1000 AND 9999 THEN c ELSE 0 END) / max(t), 6) AS d4,
@@ -47,7 +47,7 @@ SELECT CAST(sum(c) AS BIGINT) AS total, round(sum(CASE WHEN n < 10 THEN c ELSE 0
     "F15_probe_bands": f"WITH band AS (SELECT n AS g, round(power(10, 1 + n / 3.0)) AS m FROM {{ZERO}} z WHERE n < 10), w AS (SELECT g, ceil(0.9 * m) AS lo, least(floor(1.1 * m), 10000) AS hi, floor(1.1 * m) AS whole FROM band), {PART} SELECT g, round(sum(c) * max((whole - lo + 1.0) / (hi - lo + 1.0)), 6) AS c FROM w JOIN cnt ON cnt.n BETWEEN lo AND hi GROUP BY g",
     "F18_left_out_r2": f"WITH {FAM}, f AS (SELECT a.model, max(a.y) AS y, max(a.x) AS x, regr_slope(b.y, b.x) AS s, regr_intercept(b.y, b.x) AS i FROM cell a JOIN cell b ON a.model <> b.model GROUP BY a.model) SELECT round(1 - sum(power(y - i - s * x, 2)) / (var_pop(y) * count(*)), 5) AS r2, round(sqrt(avg(power(y - i - s * x, 2))), 4) AS rmse FROM f",
     "F19_efficient_coding": f"WITH {DENSE}, s AS (SELECT n, sum(sqrt(greatest(c, 0.5))) OVER (ORDER BY n ROWS UNBOUNDED PRECEDING) AS f FROM den) SELECT n, round(f, 4) AS f FROM s WHERE n IN (10, 22, 46, 100, 215, 464, 1000, 2154, 4642, 10000)",
-    "F22_relative_error": "WITH m AS (SELECT label, avg(x) AS v FROM {VEC} q WHERE p = 1 GROUP BY label), o AS (SELECT label + 1 AS i, abs(lead(v) OVER (ORDER BY label) - v) AS d FROM m), f AS (SELECT regr_slope(ln(greatest(d, 1e-8)), i) AS s, regr_intercept(ln(greatest(d, 1e-8)), i) AS b FROM o) SELECT round(sqrt(avg(power(d - exp(b + s * i), 2))) / avg(d), 6) AS error FROM o CROSS JOIN f WHERE d IS NOT NULL",
+    "F22_relative_error": "WITH m AS (SELECT p, label, avg(x) AS v FROM {VEC} q GROUP BY p, label), o AS (SELECT p, label + 1 AS i, abs(lead(v) OVER (PARTITION BY p ORDER BY label) - v) AS d FROM m), f AS (SELECT p, regr_slope(ln(greatest(d, 1e-8)), i) AS s, regr_intercept(ln(greatest(d, 1e-8)), i) AS b FROM o GROUP BY p) SELECT o.p, round(sqrt(avg(power(d - exp(b + s * i), 2))) / avg(d), 6) AS error FROM o JOIN f ON f.p = o.p WHERE d IS NOT NULL GROUP BY o.p",
     "F24_power_grid": f"WITH {SERIES}, g AS (SELECT n / 20.0 AS p FROM {{ZERO}} z WHERE n BETWEEN 1 AND 40) SELECT round(p, 2) AS p, round(regr_r2(y, power(i, p)), 6) AS r2, round(regr_slope(y, power(i, p)), 5) AS slope FROM ser CROSS JOIN g GROUP BY 1",
     "F26_line_or_step": f"""WITH {SERIES}, line AS (SELECT CAST(count(*) AS DOUBLE) AS n, (1 - regr_r2(y, i)) * var_pop(y) * count(*) AS rss FROM ser),
 side AS (SELECT a.i AS cut, CASE WHEN b.i <= a.i THEN 0 ELSE 1 END AS s, var_pop(b.y) * count(*) AS rss FROM ser a CROSS JOIN ser b GROUP BY 1, 2),
@@ -72,7 +72,7 @@ SELECT round(bx, 5) AS bx, round(bz, 4) AS bz, round(sqrt(s2 * vz / (n * det)),
     "R22_one_hot": "SELECT n, pos.n AS place, CAST(substr(lpad(CAST(z.n AS STRING), 4, '0'), pos.n, 1) AS INT) AS digit, 1 AS one FROM {ZERO} z CROSS JOIN (SELECT n FROM {ZERO} y WHERE n BETWEEN 1 AND 4) pos WHERE z.n BETWEEN 100 AND 999".replace("SELECT n,", "SELECT z.n AS n,"),
     # vectors
     "G02_pls": "WITH w AS (SELECT p, covar_pop(x, label) AS c FROM {VEC} v GROUP BY p), t AS (SELECT sqrt(sum(c * c)) AS t FROM w) SELECT p, round(c / t, 5) AS weight FROM w CROSS JOIN t",
-    "G03_monotonicity": f"WITH {CENTRE}, r AS (SELECT p, label, rank() OVER (PARTITION BY p ORDER BY v) AS k FROM cen) SELECT p, round(abs(corr(label, k)), 6) AS rho FROM r GROUP BY p",
+    "G03_monotonicity": f"WITH {CENTRE}, r AS (SELECT p, label, rank() OVER (PARTITION BY p ORDER BY v) + (count(*) OVER (PARTITION BY p, v) - 1) / 2.0 AS k FROM cen) SELECT p, round(abs(corr(label, k)), 6) AS rho FROM r GROUP BY p",
     "G05_layer_choice": "WITH v AS (SELECT p, var_pop(x) AS s, abs(corr(x, label)) AS r FROM {VEC} q GROUP BY p) SELECT {MAXBY}(p, s) AS by_variance, {MAXBY}(p, sqrt(s * r)) AS by_both, {MAXBY}(p, r) AS by_order FROM v",
     "G06_fixed_layers": "SELECT p, round({PCT}(x, 0.5), 6) AS median FROM {VEC} v GROUP BY p",
     "G16_smoother": f"WITH {SERIES} SELECT a.i, round(sum(b.y * exp(-0.5 * power((a.i - b.i) / 3.0, 2))) / sum(exp(-0.5 * power((a.i - b.i) / 3.0, 2))), 5) AS smooth, round(sum(CASE WHEN a.i <> b.i THEN b.y * exp(-0.5 * power((a.i - b.i) / 3.0, 2)) END) / sum(CASE WHEN a.i <> b.i THEN exp(-0.5 * power((a.i - b.i) / 3.0, 2)) END), 5) AS left_out FROM ser a CROSS JOIN ser b GROUP BY a.i",
@@ -81,6 +81,6 @@ SELECT round(bx, 5) AS bx, round(bz, 4) AS bz, round(sqrt(s2 * vz / (n * det)),
     "G24_periodic_power": f"WITH {SERIES}, per AS (SELECT n AS t FROM {{ZERO}} z WHERE n IN (2, 5, 10)), m AS (SELECT avg(y) AS m FROM ser) SELECT t, round((power(sum((y - m) * cos(2 * pi() * i / t)), 2) + power(sum((y - m) * sin(2 * pi() * i / t)), 2)) / count(*), 3) AS power FROM ser CROSS JOIN per CROSS JOIN m GROUP BY t",
     "G25_two_way": f"WITH {CMP}, c AS (SELECT grp, gap, avg(correct * 1.0) AS v FROM row GROUP BY grp, gap), e AS (SELECT v, avg(v) OVER () AS m, avg(v) OVER (PARTITION BY grp) AS a, avg(v) OVER (PARTITION BY gap) AS b FROM c) SELECT round(sum(power(a - m, 2)) / sum(power(v - m, 2)), 5) AS by_group, round(sum(power(b - m, 2)) / sum(power(v - m, 2)), 5) AS by_gap, round(sum(power(v - a - b + m, 2)) / sum(power(v - m, 2)), 5) AS rest FROM e",
     "G30_distance_effects": f"WITH {APART} SELECT round(corr(d, abs(a - b)), 6) AS distance, round(corr(d, a + b), 6) AS size, round(corr(d, (least(a, b) + 1.0) / (greatest(a, b) + 1.0)), 6) AS ratio FROM far WHERE a < b",
-    "G31_group_structure": "WITH g AS (SELECT user_id, CAST(count(*) AS DOUBLE) AS k, var_pop(value) AS v FROM events GROUP BY user_id), r AS (SELECT k, v, rank() OVER (ORDER BY k) AS rk, rank() OVER (ORDER BY v) AS rv FROM g WHERE v > 0) SELECT round(0.5 * corr(rk, rv) + 0.5 * regr_slope(ln(v), ln(k)), 5) AS score FROM r",
+    "G31_group_structure": "WITH g AS (SELECT user_id, CAST(count(*) AS DOUBLE) AS k, var_pop(value) AS v FROM events GROUP BY user_id), r AS (SELECT k, v, rank() OVER (ORDER BY k) + (count(*) OVER (PARTITION BY k) - 1) / 2.0 AS rk, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2.0 AS rv FROM g WHERE v > 0) SELECT round(0.5 * corr(rk, rv) + 0.5 * regr_slope(ln(v), ln(k)), 5) AS score FROM r",
     "G33_adjusted_rand": "WITH c AS (SELECT label AS a, CASE WHEN x >= 0 THEN 1 ELSE 0 END AS b, CAST(count(*) AS DOUBLE) AS k FROM {VEC} v WHERE p = 0 GROUP BY 1, 2), s AS (SELECT (SELECT sum(k * (k - 1) / 2) FROM c) AS ab, (SELECT sum(k * (k - 1) / 2) FROM (SELECT sum(k) AS k FROM c GROUP BY a) q) AS a, (SELECT sum(k * (k - 1) / 2) FROM (SELECT sum(k) AS k FROM c GROUP BY b) q) AS b, (SELECT sum(k) * (sum(k) - 1) / 2 FROM c) AS n) SELECT round((ab - a * b / n) / ((a + b) / 2 - a * b / n), 6) AS ari FROM s",
 }

@@ -55,13 +55,13 @@ QUERIES: dict[str, str] = {
     "P13_digits": f"WITH {PART} SELECT n, substr(CAST(n AS STRING), 1, 1) AS lead, CAST(length(CAST(n AS STRING)) AS INT) AS digits, CAST(n % 10 AS INT) AS last FROM cnt",
     "P14_special_patterns": "WITH s AS (SELECT n, CAST(n AS STRING) AS s FROM {ZERO} z WHERE n >= 1) SELECT n FROM s WHERE length(s) > 1 AND length(replace(s, substr(s, 1, 1), '')) = 0 OR n IN (1, 2, 4, 8, 16, 32, 64, 128, 256, 512, 1024, 2048, 4096, 8192) OR n IN (12, 123, 1234, 2345, 3456, 4567, 5678, 6789)",
     "P15_flags": "WITH s AS (SELECT n, CAST(n AS STRING) AS s FROM {ZERO} z WHERE n >= 1) SELECT n, n % 100 = 0 AS h, n % 1000 = 0 AS k, (n & (n - 1)) = 0 AS pow2, length(s) > 1 AND length(replace(s, substr(s, 1, 1), '')) = 0 AS repdigit FROM s",
-    "P16_trailing_nines": "WITH s AS (SELECT n, CAST(n AS STRING) AS s FROM {ZERO} z WHERE n BETWEEN 100 AND 999) SELECT CASE WHEN s = '999' THEN 3 WHEN s LIKE '%99' THEN 2 WHEN s LIKE '%9' THEN 1 ELSE 0 END AS depth, count(*) AS steps FROM s GROUP BY 1",
+    "P16_trailing_nines": "WITH s AS (SELECT CAST(n AS STRING) AS s FROM {ZERO} z) SELECT CAST(length(s) - length(regexp_replace(s, '9+$', '')) AS INT) AS depth, count(*) AS steps FROM s GROUP BY 1",
     "P17_prefixes": f"WITH {PART} SELECT n, CAST(floor(n / 10) AS INT) AS p1, CAST(floor(n / 100) AS INT) AS p2, CAST(floor(n / 1000) AS INT) AS p3 FROM cnt",
     "P18_hamming": f"WITH {PART}, s AS (SELECT n, lpad(CAST(n AS STRING), 4, '0') AS s FROM cnt) SELECT a.n AS a, b.n AS b, CAST((CASE WHEN substr(a.s, 1, 1) <> substr(b.s, 1, 1) THEN 1 ELSE 0 END) + (CASE WHEN substr(a.s, 2, 1) <> substr(b.s, 2, 1) THEN 1 ELSE 0 END) + (CASE WHEN substr(a.s, 3, 1) <> substr(b.s, 3, 1) THEN 1 ELSE 0 END) + (CASE WHEN substr(a.s, 4, 1) <> substr(b.s, 4, 1) THEN 1 ELSE 0 END) AS INT) AS d FROM s a JOIN s b ON b.n BETWEEN a.n + 1 AND a.n + 20",
     "P19_bands": f"WITH band AS (SELECT CAST(n AS INT) AS g, round(power(10, 1 + n / 3.0)) AS m FROM {{ZERO}} z WHERE n < 10), {PART} SELECT g, CAST(sum(c) AS BIGINT) AS c FROM band JOIN cnt ON cnt.n >= ceil(0.9 * m) AND cnt.n <= floor(1.1 * m) GROUP BY g",
     "P20_decades": f"WITH {DENSE} SELECT CAST(length(CAST(n AS STRING)) AS INT) AS digits, CAST(sum(c) AS BIGINT) AS c FROM den WHERE n >= 1 GROUP BY 1",
-    "P21_frequency_tiers": f"WITH {DENSE} SELECT CASE WHEN c < 10 THEN 'low' WHEN c < 40 THEN 'mid' ELSE 'high' END AS tier, count(*) AS k FROM den WHERE n BETWEEN 10 AND 9999 GROUP BY 1",
-    "P22_gap_regimes": f"WITH {CMP} SELECT CASE WHEN gap <= 2 THEN 'SG' WHEN gap <= 4 THEN 'MG' ELSE 'LG' END AS regime, count(*) AS k, round(avg(correct), 6) AS accuracy FROM row GROUP BY 1",
+    "P21_frequency_tiers": f"WITH {DENSE} SELECT CASE WHEN c < 1000 THEN 'low' WHEN c < 100000 THEN 'mid' ELSE 'high' END AS tier, count(*) AS k FROM den WHERE n BETWEEN 10 AND 9999 GROUP BY 1",
+    "P22_gap_regimes": f"WITH {CMP} SELECT CASE WHEN gap <= 5 THEN 'SG' WHEN gap <= 10 THEN 'MG' WHEN gap <= 20 THEN 'LG' END AS regime, count(*) AS k, round(avg(correct), 6) AS accuracy FROM row GROUP BY 1",
     "P23_symbol_value": "SELECT n_nationkey, CAST((ascii(lower(substr(n_name, 1, 1))) - 97) * 676 + (ascii(lower(substr(n_name, 2, 1))) - 97) * 26 + ascii(lower(substr(n_name, 3, 1))) - 97 AS INT) AS v FROM nation",
     "P24_first_integer": "SELECT doc_id, {FIRSTINT} AS first_int FROM documents WHERE {FIRSTINT} <> ''",
     "P25_stable_hash": "SELECT doc_id, {SHA} AS digest, md5(text) AS short FROM documents",
@@ -71,7 +71,7 @@ QUERIES: dict[str, str] = {
     # sampling
     "M01_units": f"WITH {UNIT}, s AS (SELECT doc_id, size, CAST(ceil(size / 4096.0) AS INT) AS k FROM unit) SELECT doc_id, CAST(part AS INT) AS part, CAST(floor(size * part / CAST(k AS DOUBLE)) AS BIGINT) AS lo, CAST(floor(size * (part + 1) / CAST(k AS DOUBLE)) AS BIGINT) AS hi FROM (SELECT doc_id, size, k, {{EXPL}}({{SEQ}}(0, k - 1)) AS part FROM s) q",
     "M02_uniform_units": f"WITH {UNIT}, r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY (doc_id * 1103515245 + 12345) % 2147483648, doc_id) AS k FROM unit) SELECT source, doc_id, size FROM r WHERE k <= 3",
-    "M03_size_proportional": f"WITH {UNIT}, w AS (SELECT doc_id, size, sum(size) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS hi, sum(size) OVER () AS tot FROM unit), d AS (SELECT n AS draw, ((CAST(n AS BIGINT) * 1103515245 + 12345) % 2147483648) / 2147483648.0 AS u FROM {{ZERO}} z WHERE n < 200) SELECT CAST(draw AS INT) AS draw, doc_id, round(CAST(tot AS DOUBLE) / size, 6) AS weight FROM d JOIN w ON u * tot >= hi - size AND u * tot < hi",
+    "M03_size_proportional": f"WITH {UNIT}, w AS (SELECT doc_id, size, sum(size) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS hi, sum(size) OVER () AS tot, count(*) OVER () AS units FROM unit), d AS (SELECT n AS draw, ((CAST(n AS BIGINT) * 1103515245 + 12345) % 2147483648) / 2147483648.0 AS u FROM {{ZERO}} z WHERE n < 200) SELECT CAST(draw AS INT) AS draw, doc_id, round(CAST(tot AS DOUBLE) / units / size, 6) AS weight FROM d JOIN w ON u * tot >= hi - size AND u * tot < hi",
     "M04_budget_prefix": f"WITH {UNIT}, o AS (SELECT doc_id, size, sum(size) OVER (ORDER BY (doc_id * 69069 + 1) % 4294967296, doc_id ROWS UNBOUNDED PRECEDING) AS cum FROM unit) SELECT doc_id, size FROM o WHERE cum - size < 200000",
     "M10_chunk_offsets": f"WITH {UNIT} SELECT doc_id, CAST(floor(size / 2048) AS BIGINT) AS chunks, CAST(sum(floor(size / 2048)) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto FROM unit",
     "M12_chunk_to_file": f"WITH {UNIT}, o AS (SELECT doc_id, CAST(floor(size / 2048) AS BIGINT) AS k, CAST(sum(floor(size / 2048)) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS hi FROM unit) SELECT CAST(z.n AS INT) AS chunk, doc_id, CAST((z.n - (hi - k)) * 2048 AS BIGINT) AS start FROM {{ZERO}} z JOIN o ON z.n >= hi - k AND z.n < hi WHERE z.n < 500",
@@ -114,7 +114,6 @@ QUERIES: dict[str, str] = {
     "J08_neighbours": f"WITH {PART} SELECT a.n, count(*) AS k, round(avg(b.c), 6) AS base FROM cnt a JOIN cnt b ON b.n BETWEEN a.n - 3 AND a.n + 3 AND b.n <> a.n AND b.n % 10 <> 0 WHERE a.n % 10 = 0 AND a.n > 0 GROUP BY a.n",
     "J09_successor": f"WITH {PART} SELECT a.n, b.c - a.c AS step FROM cnt a JOIN cnt b ON b.n = a.n + 1",
     "J10_pairs": "SELECT a.s_suppkey AS a, b.s_suppkey AS b, round(abs(a.s_acctbal - b.s_acctbal), 4) AS d FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey",
-    "J11_knn": "WITH d AS (SELECT a.vec_id, b.vec_id AS other, {DOT} AS s FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(s, 9) DESC, other) AS k FROM d) SELECT vec_id, CAST(k AS INT) AS k, other, round(s, 6) AS s FROM r WHERE k <= 5",
     "J12_nearest_key": f"WITH {PART}, o AS (SELECT n FROM cnt WHERE n % 37 = 0), r AS (SELECT a.n AS a, o.n AS near, row_number() OVER (PARTITION BY a.n ORDER BY abs(a.n - o.n), o.n) AS k FROM cnt a JOIN o ON o.n BETWEEN a.n - 40 AND a.n + 40) SELECT a, near FROM r WHERE k = 1",
     # windows, sets
     "W01_rank_frequency": f"WITH {PART} SELECT n, c, CAST(row_number() OVER (ORDER BY c DESC, n) AS INT) AS rank FROM cnt WHERE c > 0",
@@ -122,7 +121,7 @@ QUERIES: dict[str, str] = {
     "W03_tiers": f"WITH {PART}, r AS (SELECT n, floor(n / 100) AS block, row_number() OVER (PARTITION BY floor(n / 100) ORDER BY c, n) - 1 AS k, count(*) OVER (PARTITION BY floor(n / 100)) AS m FROM cnt) SELECT n, CAST(floor(k * 3 / m) AS INT) AS tier FROM r",
     "W04_demean": f"WITH {FAM} SELECT model, round(x - avg(x) OVER (PARTITION BY family), 6) AS x, round(y - avg(y) OVER (PARTITION BY family), 6) AS y FROM cell",
     "W05_average_rank": "SELECT l_orderkey, l_linenumber, rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0D AS r FROM lineitem WHERE l_orderkey < 500",
-    "W06_gaps": "WITH m AS (SELECT label, avg(x) AS v FROM {VEC} q WHERE p = 0 GROUP BY label), o AS (SELECT label, v, lead(v) OVER (ORDER BY label) - v AS d FROM m) SELECT label, round(d, 6) AS gap FROM o WHERE d IS NOT NULL",
+    "W06_gaps": "WITH m AS (SELECT p, label, avg(x) AS v FROM {VEC} q GROUP BY p, label), o AS (SELECT p, label, lead(v) OVER (PARTITION BY p ORDER BY label) - v AS d FROM m) SELECT p, label, round(d, 6) AS gap FROM o WHERE d IS NOT NULL",
     "W07_percentile_cut": f"WITH {PART}, q AS (SELECT {{PCT}}(c, 0.3333) AS p1, {{PCT}}(c, 0.6667) AS p2 FROM cnt) SELECT CASE WHEN c < p1 THEN 0 WHEN c < p2 THEN 1 ELSE 2 END AS tier, count(*) AS k FROM cnt CROSS JOIN q GROUP BY 1",
     "W08_sliding_mean": f"WITH {DENSE} SELECT n, round(avg(c) OVER (ORDER BY n ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 6) AS m FROM den WHERE n <= 2000",
     "W09_crossing": "WITH s AS (SELECT l_returnflag AS g, l_linenumber AS t, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2), h AS (SELECT g, max(v) / 2 AS h FROM s GROUP BY g), w AS (SELECT s.g, t, v, h, lag(t) OVER (PARTITION BY s.g ORDER BY t) AS t0, lag(v) OVER (PARTITION BY s.g ORDER BY t) AS v0 FROM s JOIN h ON h.g = s.g) SELECT g, round(min(t0 + (h - v0) / (v - v0) * (t - t0)), 6) AS at FROM w WHERE v0 >= h AND v < h GROUP BY g",
@@ -148,9 +147,9 @@ QUERIES: dict[str, str] = {
     "F14_year_excess": f"WITH {DENSE} SELECT round(ln(avg(CASE WHEN n BETWEEN 1950 AND 2030 THEN c END) / avg(CASE WHEN n BETWEEN 1800 AND 1949 OR n BETWEEN 2031 AND 2199 THEN c END)), 6) AS excess FROM den",
     "F16_decade_beta": f"WITH {DENSE}, d AS (SELECT length(CAST(n AS STRING)) AS k, sum(c / (c + 4000.0D)) AS g FROM den WHERE n BETWEEN 10 AND 9999 GROUP BY 1) SELECT round(sqrt(max(CASE WHEN k = 4 THEN g END) / max(CASE WHEN k = 2 THEN g END)), 6) AS beta FROM d",
     "F17_grid_search": f"WITH {DENSE}, q AS (SELECT n / 20.0D AS q FROM {{ZERO}} z WHERE n <= 20), d AS (SELECT q, length(CAST(n AS STRING)) AS k, sum(CASE WHEN c > 0 THEN power(CAST(c AS DOUBLE), q) ELSE 0 END) AS g FROM den CROSS JOIN q WHERE n BETWEEN 10 AND 1999 GROUP BY 1, 2) SELECT round(q, 6) AS q, round(max(CASE WHEN k = 3 THEN g END) / max(CASE WHEN k = 2 THEN g END), 6) AS ratio FROM d GROUP BY q",
-    "F21_log_spacing": "WITH m AS (SELECT label, avg(x) AS v FROM {VEC} q WHERE p = 1 GROUP BY label), o AS (SELECT label + 1 AS i, abs(lead(v) OVER (ORDER BY label) - v) AS d FROM m) SELECT round(exp(regr_slope(ln(greatest(d, 1e-8)), i)), 6) AS beta FROM o WHERE d IS NOT NULL",
+    "F21_log_spacing": "WITH m AS (SELECT p, label, avg(x) AS v FROM {VEC} q GROUP BY p, label), o AS (SELECT p, label + 1 AS i, abs(lead(v) OVER (PARTITION BY p ORDER BY label) - v) AS d FROM m) SELECT p, round(exp(regr_slope(ln(greatest(d, 1e-8)), i)), 6) AS beta FROM o WHERE d IS NOT NULL GROUP BY p",
     # statistics
-    "R01_correlations": f"WITH {FAM}, k AS (SELECT *, rank() OVER (ORDER BY x) AS rx, rank() OVER (ORDER BY y) AS ry FROM cell) SELECT round(corr(x, y), 6) AS pearson, round(corr(rx, ry), 6) AS spearman, count(*) AS n FROM k",
+    "R01_correlations": f"WITH {FAM}, k AS (SELECT *, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry FROM cell) SELECT round(corr(x, y), 6) AS pearson, round(corr(rx, ry), 6) AS spearman, count(*) AS n FROM k",
     "R02_partial": f"WITH {FAM}, r AS (SELECT corr(x, y) AS xy, corr(x, z) AS xz, corr(y, z) AS yz FROM cell) SELECT round((xy - xz * yz) / sqrt((1 - xz * xz) * (1 - yz * yz)), 6) AS partial FROM r",
     "R03_within_family": f"WITH {FAM}, d AS (SELECT x - avg(x) OVER (PARTITION BY family) AS x, y - avg(y) OVER (PARTITION BY family) AS y FROM cell) SELECT round(corr(x, y), 6) AS r FROM d",
     "R04_leave_family_out": f"WITH {FAM} SELECT f.r_regionkey AS held_out, round(corr(x, y), 6) AS r FROM region f JOIN cell ON cell.family <> f.r_regionkey GROUP BY f.r_regionkey",
@@ -161,12 +160,11 @@ QUERIES: dict[str, str] = {
     "R16_benjamini_hochberg": "WITH p AS (SELECT p_partkey AS id, (p_partkey * 7919 % 1000 + 0.5D) / 1000 * (p_partkey % 10 + 1) / 10 AS p FROM part), r AS (SELECT id, p, row_number() OVER (ORDER BY p, id) AS k, count(*) OVER () AS m FROM p) SELECT id, round(least(1.0D, min(p * m / k) OVER (ORDER BY k DESC ROWS UNBOUNDED PRECEDING)), 6) AS q FROM r",
     # geometry
     "G07_path": "WITH m AS (SELECT label, p, avg(x) AS v FROM {VEC} q GROUP BY label, p), d AS (SELECT a.label, sqrt(sum(power(b.v - a.v, 2))) AS len FROM m a JOIN m b ON b.p = a.p AND b.label = a.label + 1 GROUP BY a.label) SELECT label, round(len, 6) AS segment, round(sum(len) OVER (ORDER BY label ROWS UNBOUNDED PRECEDING), 6) AS travelled FROM d",
-    "G12_knn_labels": "WITH d AS (SELECT a.vec_id, a.label AS la, b.label AS lb, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({DOT}, 9) DESC, b.vec_id) AS k FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0) SELECT round(avg(CASE WHEN la = lb THEN 1.0D ELSE 0.0D END), 6) AS same FROM d WHERE k <= 10",
     "G14_norms": "SELECT vec_id, round(sqrt(sum(x * x)), 6) AS norm, round(avg(x), 6) AS mean FROM {VEC} v GROUP BY vec_id",
     "G15_standardise": "SELECT p, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS sd, stddev_pop(x) > 1e-8 AS kept FROM {VEC} v GROUP BY p",
     "G32_energy_distance": "WITH a AS (SELECT x FROM {VEC} v WHERE label = 0 AND p = 0), b AS (SELECT x FROM {VEC} w WHERE label = 1 AND p = 0) SELECT round(2 * (SELECT avg(abs(a.x - b.x)) FROM a CROSS JOIN b) - (SELECT avg(abs(a.x - c.x)) FROM a CROSS JOIN a c) - (SELECT avg(abs(b.x - c.x)) FROM b CROSS JOIN b c), 6) AS e",
     # generators, streams as batches
-    "X05_number_sets": "SELECT n, n % 7 AS residue, CAST(round(sqrt(n)) AS INT) * CAST(round(sqrt(n)) AS INT) = n AS square FROM {ZERO} z WHERE n BETWEEN 1 AND 2000",
+    "X05_number_sets": "WITH two AS (SELECT DISTINCT a.n FROM {ZERO} a JOIN {ZERO} b ON b.n BETWEEN 2 AND 100 AND b.n * b.n <= a.n AND a.n % b.n = 0), pow AS (SELECT DISTINCT CAST(round(least(power(b.n, e.n), 20000.0)) AS INT) AS n FROM {ZERO} b JOIN {ZERO} e ON b.n BETWEEN 2 AND 100 AND e.n BETWEEN 2 AND 13 WHERE e.n * ln(b.n) <= ln(10000.5)) SELECT z.n, z.n % 7 AS residue, z.n > 1 AND two.n IS NULL AS prime, CAST(round(sqrt(z.n)) AS INT) * CAST(round(sqrt(z.n)) AS INT) = z.n AS square, z.n = 1 OR pow.n IS NOT NULL AS perfect_power, length(replace(CAST(z.n AS STRING), left(CAST(z.n AS STRING), 1), '')) = 0 AS repdigit FROM {ZERO} z LEFT JOIN two ON two.n = z.n LEFT JOIN pow ON pow.n = z.n WHERE z.n >= 1",
     "X06_job_grid": "SELECT r_name AS model, CAST(n AS INT) AS layer, CAST(n * (r_regionkey + 1) AS INT) AS cost FROM region CROSS JOIN {ZERO} z WHERE n < 24",
 }
 

@@ -1,14 +1,12 @@
-"""Spark's form of queries whose string in sql.py or more.py stops at a bound.
+"""Queries over whole tables, with the oracle's statement of each apart from Spark's.
 
-Those strings stay as they are and remain what oracle_sql() returns, so for these
-queries the oracle covers only the bounded part; tests/test_whole.py holds the
-whole answers against brute force.
+tests/test_whole.py holds them against brute force as well.
 """
 
 from __future__ import annotations
 
 from .more import CI, _draws
-from .sql import DENSE, UNIT
+from .sql import DENSE, UNIT, spell
 
 WHOLE: dict[str, str] = {
     # a running sum over the distinct values instead of one sort of all rows
@@ -22,3 +20,11 @@ WHOLE: dict[str, str] = {
     # 0 to 10000 are 101 blocks, the last of one number
     "R12_block_bootstrap": f"WITH {DENSE}, k AS (SELECT CAST(floor(n / 100) AS INT) AS block, CAST(sum(c) AS DOUBLE) AS s FROM den GROUP BY 1), {_draws('101')}, b AS (SELECT rep, sum(s) AS v FROM pick JOIN k ON k.block = pick.at GROUP BY rep) SELECT {CI} FROM b",
 }
+
+#: The oracle's SQL of these queries: windows over all rows where Spark sums in two steps.
+ORACLE: dict[str, str] = {
+    "W05_average_rank": "SELECT l_orderkey, l_linenumber, rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0 AS r FROM lineitem",
+    "M12_chunk_to_file": "WITH o AS (SELECT doc_id, octet_length(encode(text)) // 2048 AS k, sum(octet_length(encode(text)) // 2048) OVER (ORDER BY doc_id NULLS FIRST) - octet_length(encode(text)) // 2048 AS lo FROM documents WHERE octet_length(encode(text)) >= 2048) SELECT CAST(lo + j AS BIGINT) AS chunk, doc_id, CAST(j * 2048 AS BIGINT) AS start FROM (SELECT doc_id, lo, unnest(range(k)) AS j FROM o) q",
+    "J11_knn": "WITH d AS (SELECT a.vec_id, b.vec_id AS other, round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS d FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, other) AS k FROM d) SELECT vec_id, CAST(k AS INT) AS k, other, round(d, 6) AS d FROM r WHERE k <= 5",
+    "G12_knn_labels": "WITH d AS (SELECT a.vec_id, a.label AS la, b.label AS lb, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9), b.vec_id) AS k FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0) SELECT round(avg(CASE WHEN la = lb THEN 1.0 ELSE 0.0 END), 6) AS same FROM d WHERE k <= 10",
+} | {name: spell(WHOLE[name], 1) for name in ("P27_log_guards", "W08_sliding_mean", "F08_null_models", "R12_block_bootstrap")}

@@ -83,3 +83,20 @@ def test_bootstrap_of_all_blocks(spark, dense):
     got = plans.queries()["R12_block_bootstrap"](spark, path).first()
     assert (got.low, got.mid, got.high) == pytest.approx(tuple(want), abs=1e-5)
     assert got.low < sum(c) < got.high
+
+
+def test_nearest_against_brute_force(spark, monkeypatch):
+    from tallyfield.operators import neighbours
+
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.integers(-2, 3, 6).astype(float).tolist()) for i in range(120)] + [(500, None), (501, [float("nan")] * 6), (502, [1.0]), (None, [0.0] * 6)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    monkeypatch.setattr(neighbours, "BLOCK", 7)
+    monkeypatch.setattr(neighbours, "ASKED", 3)
+    got = sorted(map(tuple, neighbours.nearest(frame, frame.where("vec_id % 20 = 0"), 4).collect()))
+    want = []
+    for q in range(0, 120, 20):
+        near = sorted((round(math.dist(rows[q][1], v), 9), i) for i, v in rows[:120] if i != q)[:4]
+        want += [(q, k, i, d) for k, (d, i) in enumerate(near, 1)]
+    assert got == want
+    assert neighbours.nearest(frame.limit(0), frame.limit(0), 4).count() == 0
