@@ -28,11 +28,11 @@ def finite(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
 
 def second_moments(points: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
-    """Rows, means and covariance of (ln(id + 1), vec); what is collected grows with the width alone."""
-    first = points.first()
-    if first is None:
+    """Rows, means and covariance of (ln(id + 1), vec) of the vectors of the commonest length; what is collected grows with the width alone."""
+    common = points.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    if common is None:
         return 0, np.zeros(0), np.zeros((0, 0))
-    width = len(first.vec) + 1
+    width = common.d + 1
 
     def sums(batches):
         total = np.zeros((width + 1, width + 1))
@@ -214,16 +214,32 @@ def isomap(d: np.ndarray, k: int = 3) -> np.ndarray:
     return axis * (1 if axis[-1] >= axis[0] else -1)
 
 
-def low_rank_and_sparse(x: np.ndarray, rounds: int = 500) -> tuple[np.ndarray, np.ndarray]:
-    """Principal component pursuit: x as a low-rank and a sparse part, by alternating shrinkage."""
-    lam, mu = 1 / math.sqrt(max(x.shape)), x.size / (4 * max(np.abs(x).sum(), 1e-12))
-    sparse, dual = np.zeros_like(x), np.zeros_like(x)
-    for _ in range(rounds):
-        a, s, b = np.linalg.svd(x - sparse + dual / mu, full_matrices=False)
-        low = (a * np.maximum(s - 1 / mu, 0)) @ b
-        y = x - low + dual / mu
-        sparse = np.sign(y) * np.maximum(np.abs(y) - lam / mu, 0)
-        dual += mu * (x - low - sparse)
-        if np.linalg.norm(x - low - sparse) <= 1e-7 * max(np.linalg.norm(x), 1e-12):
+# Fixed values, as Lin, Chen and Ma give them for the inexact method: first penalty over the spectral norm, its growth, and the residual at which to stop.
+PENALTY, GROWTH, RESIDUAL = 1.25, 1.5, 1e-7
+
+
+def low_rank_and_sparse(x: np.ndarray, most_rounds: int = 500) -> tuple[np.ndarray, np.ndarray]:
+    """Principal component pursuit (Candes, Li, Ma and Wright 2011): the low-rank and the sparse part whose nuclear norm and weighted absolute sum are least.
+
+    Solved by the inexact augmented Lagrange multiplier method (Lin, Chen and Ma 2010), with a penalty that grows.
+    """
+    scale = np.linalg.norm(x)
+    if not scale:
+        return x.copy(), np.zeros_like(x)
+    weight = max(x.shape) ** -0.5
+    spectral = np.linalg.norm(x, 2)
+    multiplier = x / max(spectral, np.abs(x).max() / weight)
+    penalty, top = PENALTY / spectral, 1e7 * PENALTY / spectral
+    low = np.zeros_like(x)
+    for _ in range(most_rounds):
+        open_part = x - low + multiplier / penalty
+        sparse = open_part - np.clip(open_part, -weight / penalty, weight / penalty)
+        left, values, right = np.linalg.svd(x - sparse + multiplier / penalty, full_matrices=False)
+        rank = int((values > 1 / penalty).sum())
+        low = left[:, :rank] * (values[:rank] - 1 / penalty) @ right[:rank]
+        gap = x - low - sparse
+        if np.linalg.norm(gap) < RESIDUAL * scale:
             break
+        multiplier = multiplier + penalty * gap
+        penalty = min(GROWTH * penalty, top)
     return low, sparse
