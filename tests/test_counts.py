@@ -16,8 +16,10 @@ def counted(spark, text):
     return {r.n: r.c for r in count_integers(spark.createDataFrame([(text,)], "text string")).collect()}
 
 
-def test_golden_counts(spark):
-    assert counted(spark, "007 x 10000 10001 00000 abc12 3.5 2019") == {7: 1, 10000: 1, 0: 1, 3: 1, 5: 1, 2019: 1}
+def test_counting_rule(spark):
+    """Leading zeros, the top and one beyond it, digits in words, both sides of a point, and repeats."""
+    text = "room 0042, or 42; year_1987 1987. 12,000 -6 6.0625 v2 10001 10000 000"
+    assert counted(spark, text) == {42: 2, 1987: 1, 12: 1, 0: 2, 6: 2, 625: 1, 10000: 1}
 
 
 def test_unicode_boundaries(spark):
@@ -30,10 +32,16 @@ def test_nothing_to_count(spark, text):
     assert counted(spark, text) == {}
 
 
-def test_zero_fill_and_rare(spark):
-    base = spark.range(0, 10001).select(F.col("id").cast("int").alias("n"), F.when(F.col("id").isin(10, 500, 9999), 3999).when(F.col("id").isin(11, 600), 4000).when(F.col("id").isin(0, 5, 10000), 0).otherwise(10000).cast("long").alias("c"))
-    assert describe(base).first().rare == 3
-    assert zero_fill(base.where("n < 5")).count() == 10001
+@pytest.mark.parametrize(("n", "c", "rare"), [(10, 3999, True), (10, 4000, False), (9, 0, False), (9999, 0, True), (10000, 0, False), (5000, 3999, True)])
+def test_rare_counts_of_one_number(spark, n, c, rare):
+    """Only numbers of two to four digits count as rare, below 4000 occurrences."""
+    base = spark.range(0, 10001).select(F.col("id").cast("int").alias("n"), F.when(F.col("id") == n, c).otherwise(4000 + F.col("id")).cast("long").alias("c"))
+    assert describe(base).first().rare == int(rare)
+
+
+def test_zero_fill(spark):
+    filled = zero_fill(spark.createDataFrame([(3, 8), (70, 1)], "n int, c long")).collect()
+    assert len(filled) == 10001 and {r.n: r.c for r in filled if r.c} == {3: 8, 70: 1}
 
 
 def test_mle_recovers_exponent(spark):
