@@ -144,7 +144,7 @@ QUERIES: dict[str, str] = {
     "F09_kl": f"WITH {DENSE}, p AS (SELECT n, CAST(c AS DOUBLE) / sum(c) OVER () AS p, (1.0 / n) / sum(1.0 / n) OVER () AS z FROM den WHERE n >= 1) SELECT round(sum(CASE WHEN p > 0 THEN p * ln(p * 10000) ELSE 0 END), 6) AS kl_uniform, round(sum(CASE WHEN p > 0 THEN p * ln(p / z) ELSE 0 END), 6) AS kl_zipf FROM p",
     "F11_benford": f"WITH {PART}, d AS (SELECT CAST(substr(CAST(n AS STRING), 1, 1) AS INT) AS d, CAST(sum(c) AS DOUBLE) AS c FROM cnt WHERE n > 0 GROUP BY 1) SELECT d, round(c / sum(c) OVER (), 6) AS share, round(c / sum(c) OVER () - ln(1 + 1.0 / d) / ln(10), 6) AS residual FROM d",
     "F13_round_excess": f"WITH {DENSE}, e AS (SELECT a.n, max(a.c) AS c, avg(b.c) AS base FROM den a JOIN den b ON b.n BETWEEN a.n - 3 AND a.n + 3 AND b.n % 10 <> 0 AND b.n >= 1 WHERE a.n % 10 = 0 AND a.n BETWEEN 20 AND 9990 GROUP BY a.n) SELECT round(avg(ln(c / base)), 6) AS excess FROM e WHERE c > 0 AND base > 0",
-    "F14_year_excess": f"WITH {DENSE} SELECT round(ln(avg(CASE WHEN n BETWEEN 1950 AND 2030 THEN c END) / avg(CASE WHEN n BETWEEN 1800 AND 1949 OR n BETWEEN 2031 AND 2199 THEN c END)), 6) AS excess FROM den",
+    "F14_year_excess": f"WITH {DENSE} SELECT round(ln(avg(CASE WHEN n BETWEEN 1950 AND 2030 THEN c END) / nullif(avg(CASE WHEN n BETWEEN 1800 AND 1949 OR n BETWEEN 2031 AND 2199 THEN c END), 0.0)), 6) AS excess FROM den",
     "F16_decade_beta": f"WITH {DENSE}, d AS (SELECT length(CAST(n AS STRING)) AS k, sum(c / (c + 4000.0D)) AS g FROM den WHERE n BETWEEN 10 AND 9999 GROUP BY 1) SELECT round(sqrt(max(CASE WHEN k = 4 THEN g END) / max(CASE WHEN k = 2 THEN g END)), 6) AS beta FROM d",
     "F17_grid_search": f"WITH {DENSE}, q AS (SELECT n / 20.0D AS q FROM {{ZERO}} z WHERE n <= 20), d AS (SELECT q, length(CAST(n AS STRING)) AS k, sum(CASE WHEN c > 0 THEN power(CAST(c AS DOUBLE), q) ELSE 0 END) AS g FROM den CROSS JOIN q WHERE n BETWEEN 10 AND 1999 GROUP BY 1, 2) SELECT round(q, 6) AS q, round(max(CASE WHEN k = 3 THEN g END) / max(CASE WHEN k = 2 THEN g END), 6) AS ratio FROM d GROUP BY q",
     "F21_log_spacing": "WITH m AS (SELECT p, label, avg(x) AS v FROM {VEC} q GROUP BY p, label), o AS (SELECT p, label + 1 AS i, abs(lead(v) OVER (PARTITION BY p ORDER BY label) - v) AS d FROM m) SELECT p, round(exp(regr_slope(ln(greatest(d, 1e-8)), i)), 6) AS beta FROM o WHERE d IS NOT NULL GROUP BY p",
