@@ -70,6 +70,23 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 _WORDS = r"list_filter(regexp_split_to_array({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 _SAID = r"\### Assistant: </turn> ok"
 
+def _shard_sql(shards: int) -> str:
+    """SQL of the shard of a row whose key text is `k`: the greatest ln(u) / weight at each level of sharding.tree."""
+    shape: dict[str, dict[str, list[int]]] = {}
+    for leaf in sharding.tree(shards):
+        shape.setdefault(leaf.region, {}).setdefault(leaf.rack, []).append(leaf.shard)
+
+    def level(ways: dict[str, tuple[float, str]], prefix: str) -> str:
+        if len(ways) == 1:
+            return next(iter(ways.values()))[1]
+        draws = {n: f"ln((('0x' || left(md5('{prefix}/{n}/' || k), 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496) / {w}" for n, (w, _) in ways.items()}
+        best = f"greatest({', '.join(draws.values())})"
+        return "CASE " + " ".join(f"WHEN {draws[n]} = {best} THEN {ways[n][1]}" for n in sorted(ways)) + " END"
+
+    racks = {r: {k: (float(len(s)), level({str(x): (1.0, str(x)) for x in s}, f"{r}/{k}")) for k, s in ks.items()} for r, ks in shape.items()}
+    return level({r: (sum(w for w, _ in ks.values()), level(ks, r)) for r, ks in racks.items()}, "")
+
+
 ORACLE = {
     "op1_chat_formatting": rf"""
 WITH t AS (
@@ -121,6 +138,37 @@ each AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1))
 kept AS (SELECT e.doc_id, string_agg(e.word, ' ' ORDER BY e.at) AS text, count(*) AS n FROM each e LEFT JOIN gone g ON g.doc_id = e.doc_id AND g.at = e.at WHERE g.at IS NULL GROUP BY e.doc_id)
 SELECT w.doc_id, len(w.words)::BIGINT AS n_words, (len(w.words) - coalesce(k.n, 0))::BIGINT AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
 FROM w LEFT JOIN kept k USING (doc_id)""",
+    "op9_sharding": f"""
+WITH bits AS (SELECT i, c FROM (
+  WITH RECURSIVE r(i, n, c) AS (SELECT range, 0, range FROM range(256) UNION ALL SELECT i, n + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM r WHERE n < 8)
+  SELECT i, c FROM r WHERE n = 8)),
+crc AS (SELECT list(c ORDER BY i) AS t FROM bits),
+d AS (
+  SELECT doc_id::BIGINT AS doc_id, coalesce(doc_id::VARCHAR, '') AS k, octet_length(encode(coalesce(text, '')))::BIGINT + 1 AS size,
+         list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT) AS bytes FROM documents),
+e AS (SELECT doc_id, k, size, xor(list_reduce(bytes, lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1]), 4294967295::BIGINT), 4294967295)::BIGINT AS text_crc32 FROM d, crc),
+p AS (SELECT *, ({_shard_sql(16)})::INTEGER AS shard, ({_shard_sql(17)})::INTEGER AS grown_shard, ('0x' || left(md5(concat_ws('/', doc_id, size, text_crc32)), 8))::BIGINT % {sharding.BLOCKS} AS block FROM e)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY block, doc_id NULLS FIRST, size, text_crc32)::BIGINT - 1 AS slot, grown_shard FROM p""",
+    "op10_line_dedup": r"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id::BIGINT AS doc_id, text, CASE WHEN length(text) > 0 THEN string_split(text, chr(10)) ELSE [] END AS pieces FROM documents),
+raw AS (SELECT row, doc_id, text, unnest(pieces) AS raw, unnest(range(len(pieces))) AS place FROM d),
+lines AS (
+  SELECT row, doc_id, md5(text) AS version, raw, place, regexp_replace(trim(regexp_replace(raw, '[\t\r\x0B\f ]+', ' ', 'g'), ' '), '[^ ]*[0-9][^ ]*', '<*>', 'g') AS line FROM raw),
+forms AS (SELECT DISTINCT line, string_split(line, ' ') AS tokens FROM lines WHERE line <> ''),
+leaf AS (SELECT line, tokens, len(tokens) AS n, array_to_string(tokens[1:3], ' ') AS head FROM forms WHERE len(tokens) > 3),
+open AS (
+  SELECT n, head, list(pos) AS pos FROM (
+    SELECT n, head, pos FROM (SELECT n, head, unnest(tokens) AS token, unnest(range(1, n + 1)) AS pos FROM leaf)
+    WHERE token <> '<*>' GROUP BY n, head, pos HAVING count(DISTINCT token) > 7) GROUP BY n, head),
+merged AS (
+  SELECT line, opened FROM (
+    SELECT l.line, l.n, list_transform(l.tokens, lambda t, i: CASE WHEN list_contains(o.pos, i) THEN '<*>' ELSE t END) AS opened FROM leaf l JOIN open o USING (n, head))
+  WHERE len(list_filter(opened, lambda t: t <> '<*>')) >= 0.6::DOUBLE * n),
+held AS (SELECT l.*, CASE WHEN l.line = '' THEN NULL ELSE coalesce(array_to_string(m.opened, ' '), l.line) END AS template FROM lines l LEFT JOIN merged m USING (line)),
+recurring AS (SELECT template, min(doc_id) AS first FROM held WHERE template IS NOT NULL GROUP BY template HAVING count(DISTINCT version) >= 8),
+marked AS (SELECT h.row, h.place, h.raw, r.template IS NOT NULL AND h.doc_id IS DISTINCT FROM r.first AS gone FROM held h LEFT JOIN recurring r USING (template)),
+cut AS (SELECT row, count(*) FILTER (WHERE gone) AS n, coalesce(string_agg(raw, chr(10) ORDER BY place) FILTER (WHERE NOT gone), '') AS kept FROM marked GROUP BY row)
+SELECT d.doc_id, CASE WHEN c.n > 0 THEN c.kept ELSE d.text END AS text, len(d.pieces)::INTEGER AS n_lines, coalesce(c.n, 0)::INTEGER AS n_dropped FROM d LEFT JOIN cut c USING (row)""",
 }
 
 

@@ -60,6 +60,11 @@ def _draw(key: Column, children: dict[str, float], prefix: str) -> Column:
     return F.element_at(F.array(*(F.lit(n) for n in names)), 1 - best["i"])
 
 
+def _block(*columns: str) -> Column:
+    """The hash block that a row is counted in, from 0 to BLOCKS - 1: the leading bits of an md5, so that any engine can repeat it."""
+    return F.pmod(F.conv(F.substring(F.md5(F.concat_ws("/", *columns)), 1, 8), 16, 10).cast("long"), F.lit(BLOCKS)).cast("int")
+
+
 def place(key: Column, leaves: list[Leaf]) -> Column:
     """The shard of a key: a descent through region, rack and shard."""
     shape: dict[str, dict[str, dict[str, float]]] = {}
@@ -92,7 +97,7 @@ def shard_rows(rows: DataFrame, key_col: str, shards: int = 16, order: list[str]
     """
     key = F.col(key_col)
     placed = rows.withColumn("shard", place(key, tree(shards))).withColumn("grown_shard", place(key, tree(shards + 1)))
-    parts = placed.withColumn("_block", F.pmod(F.xxhash64(*(order or [key_col])), F.lit(BLOCKS)).cast("int"))
+    parts = placed.withColumn("_block", _block(*(order or [key_col])))
     counts = parts.groupBy("shard", "_block").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("shard").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
