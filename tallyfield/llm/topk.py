@@ -9,25 +9,36 @@ reach the query's current k-th score is dropped and the survivors are compacted
 before the next group.  Dimensions are visited in order of their mass over all
 candidates, so that bounds close early.
 
-The query set is broadcast in pieces of at most `query_bytes`; every piece
-meets every candidate block, which is the work that an exact search states.  A
-task returns k rows a query and block, and a grouped top-k merges them.
+The query set is broadcast in pieces of at most `query_bytes`, one after
+another: a piece's answers are written before the next one is read, so the
+driver and each executor hold one piece whatever the number of queries.  Every
+piece meets every candidate block, which is the work that an exact search
+states.  A task returns k rows a query and block, and a grouped top-k merges
+them.
+
+Scores are sums of doubles where these are exact (below 2**53, by the largest
+components of piece and block), and else sums of integers of the width needed,
+without bounds.
 
 Behaviour: vectors that are null, of another length than the most common one,
 or that hold null or non-finite components take no part; ties go to the
 smaller id; repeated ids each count; a query with fewer than k candidates gets
-all; a table without queries or vectors gives no rows.
+all; a table without queries or vectors gives no rows.  A component whose
+scaled floor is no long counts as the nearest long; a best score that is no
+long raises OverflowError.
 """
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .session import keep, ready
+from .session import fresh_path, keep, ready
 
 #: Bytes of query vectors in one broadcast piece.
 QUERY_BYTES = 4 << 20
@@ -95,6 +106,31 @@ def _top(score: np.ndarray, rank: np.ndarray, k: int) -> np.ndarray:
     return near[np.lexsort((rank[near], -score[near]))[:k]]
 
 
+def best_wide(queries: np.ndarray, own: np.ndarray, block: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As best, in the integers that the arrays hold (int64, or objects of any size): every score in full."""
+    by_id = np.argsort(ids, kind="stable")
+    rank = np.empty(len(ids), np.int64)
+    rank[by_id] = np.arange(len(ids))
+    out_q, out_i, out_s = [], [], []
+    for q in range(len(queries)):
+        other = np.flatnonzero(ids != own[q])
+        score = (queries[q] @ block)[other]
+        if score.dtype == object:
+            chosen = np.array(heapq.nsmallest(k, range(len(other)), key=lambda j: (-score[j], rank[other[j]])), np.int64)
+            if any(not -(1 << 63) <= score[j] < 1 << 63 for j in chosen):
+                raise OverflowError("a score doesn't fit in a long; use a smaller scale")
+        else:
+            chosen = np.lexsort((rank[other], -score))[:k]
+        out_q.append(np.full(len(chosen), q))
+        out_i.append(ids[other[chosen]])
+        out_s.append(score[chosen].astype(np.int64))
+    return tuple(np.concatenate(x) for x in (out_q, out_i, out_s))
+
+
+def _largest(x: np.ndarray) -> int:
+    return max(-int(x.min()), int(x.max())) if x.size else 0
+
+
 def _search(pieces, k: int):
     """(id, vec) rows to each block's best for every query of the broadcast pieces."""
 
@@ -106,11 +142,15 @@ def _search(pieces, k: int):
         held, ids, n = [], [], 0
 
         def block():
-            vectors, names = np.concatenate(held).astype(np.float64), np.concatenate(ids)
-            if vectors.shape[1] * np.abs(vectors).max(initial=0) * np.abs(q).max(initial=0) >= 2.0**53:
-                raise ValueError("scores beyond 2**53 aren't exact; use a smaller scale")
-            vertical = np.ascontiguousarray(vectors.T)
-            found = [(at + w, i, s) for at in range(0, len(q), 128) for w, i, s in [best(q[at : at + 128].astype(np.float64), q_ids[at : at + 128], vertical, names, k, order=order)]]
+            vectors, names = np.concatenate(held), np.concatenate(ids)
+            most = vectors.shape[1] * _largest(vectors) * _largest(q)
+            kind = np.float64 if most < 1 << 53 else np.int64 if most < 1 << 63 else object
+            vertical = np.ascontiguousarray(vectors.astype(kind).T)
+            found = []
+            for at in range(0, len(q), 128):
+                some, own = q[at : at + 128].astype(kind), q_ids[at : at + 128]
+                w, i, s = best(some, own, vertical, names, k, order=order) if kind is np.float64 else best_wide(some, own, vertical, names, k)
+                found.append((at + w, i, s))
             who, what, score = (np.concatenate(x) for x in zip(*found, strict=True))
             return pa.RecordBatch.from_arrays([pa.array(q_ids[who]), pa.array(who.astype(np.int64)), pa.array(what), pa.array(score.astype(np.int64))], names=["query_id", "place", "vec_id", "score"])
 
@@ -150,9 +190,8 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: floa
     order = np.argsort([-x for x in mass], kind="stable")
     asked = keep(whole(queries).where(F.size("vec") == dims))
     each = max(1, query_bytes // (8 * dims))
-    # pieces of queries: numbered in parts, so that the driver holds one piece at a time
     spread = max(1, -(-asked.count() // each))
-    found = None
+    path, written = fresh_path(spark, "top-k"), False
     for part in range(spread):
         rows = asked.where(F.pmod(F.xxhash64("id"), F.lit(spread)) == part).toArrow() if spread > 1 else asked.toArrow()
         if not rows.num_rows:
@@ -160,9 +199,8 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: floa
         q = _matrix(rows.column("vec").combine_chunks()).astype(np.int64)
         pieces = spark.sparkContext.broadcast((rows.column("id").to_numpy(), q, order))
         near = candidates.mapInArrow(_search(pieces, k), "query_id long, place long, vec_id long, score long")
-        near = near.withColumn("part", F.lit(part))
-        found = near if found is None else found.union(near)
-    if found is None:
-        return spark.createDataFrame([], schema)
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("part", "place", "query_id").orderBy(F.desc("score"), "vec_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("place", "query_id").orderBy(F.desc("score"), "vec_id")))
+        ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score").write.mode("append").parquet(path)
+        pieces.destroy()
+        written = True
+    return spark.read.schema(schema).parquet(path) if written else spark.createDataFrame([], schema)
