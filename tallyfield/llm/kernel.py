@@ -198,25 +198,33 @@ def grouped(batches):
         yield part, blobs
 
 
-def _finer(bits: int, to: int, flush: int = 1 << 20):
-    """Blobs of ranges of `bits` to those of the finer ranges of `to` bits."""
+def _finer(bits: int, to: int, wide: int, spare: int, flush: int = 1 << 20):
+    """Blobs of ranges of `bits` to those of the finer ranges of `to` bits; blobs of negative parts as they are."""
 
     def run(batches):
         for part, blobs in _parcels(batches, flush):
+            if part < 0:
+                yield pa.RecordBatch.from_arrays([pa.array([part] * len(blobs), pa.int64()), pa.array(blobs, pa.binary())], names=["part", "blob"])
+                continue
             parts = [unpack(x) for x in blobs]
-            tables = [t for _, _, t in parts]
+            tables = [t.reshape(-1, wide) for _, _, t in parts]
             at = np.cumsum([0, *map(len, tables)])
             keys = np.concatenate([k for k, _, _ in parts])
-            values = np.concatenate([v + a for (_, v, _), a in zip(parts, at, strict=False)])
+            which = np.concatenate([v % max(1, len(t)) + a for (_, v, _), t, a in zip(parts, tables, at, strict=False)])
+            values = np.concatenate([v // max(1, len(t)) for (_, v, _), t in zip(parts, tables, strict=True)])
             table = np.concatenate(tables)
             order = np.argsort(keys, kind="stable")
-            keys, values = keys[order], values[order]
+            keys, which, values = keys[order], which[order], values[order]
             edges = (np.uint64(part) << np.uint64(64 - bits)) + (np.arange(1, 1 << (to - bits), dtype=np.uint64) << np.uint64(64 - to))
-            cuts = np.concatenate(([0], np.searchsorted(keys, edges, "left"), [len(keys)]))
+            cuts = np.concatenate(([0], np.searchsorted(keys, edges >> np.uint64(spare), "left"), [len(keys)]))
             out = []
             for r in np.flatnonzero(np.diff(cuts)):
-                own, value = np.unique(table[values[cuts[r] : cuts[r + 1]]], return_inverse=True) if len(table) else (table, values[cuts[r] : cuts[r + 1]])
-                out.append(((part << (to - bits)) + int(r), pack(keys[cuts[r] : cuts[r + 1]], value, own)))
+                here = slice(cuts[r], cuts[r + 1])
+                own, value = table, values[here]
+                if len(table):
+                    own, row = np.unique(table[which[here]], return_inverse=True, axis=0 if wide > 1 else None)
+                    value = value * len(own) + row.reshape(-1)
+                out.append(((part << (to - bits)) + int(r), pack(keys[here], value, own.reshape(-1))))
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], names=["part", "blob"])
 
     return run
@@ -237,11 +245,16 @@ def _parcels(batches, flush: int):
         yield part, blobs
 
 
-def in_ranges(blobs: DataFrame, bits: int) -> DataFrame:
-    """(part, blob) rows of min(bits, FIRST_BITS) ranges, to rows of 2**bits ranges that stand together, in order, in one task each."""
+def in_ranges(blobs: DataFrame, bits: int, wide: int = 1, spare: int = 0) -> DataFrame:
+    """(part, blob) rows of min(bits, FIRST_BITS) ranges, to rows of 2**bits ranges that stand together, in order, in one task each.
+
+    A blob's table has rows of `wide` numbers; without a table a value is any
+    number, else it is a number times the table's rows, plus the row it goes with.
+    Keys come without their `spare` lowest bits.
+    """
     now = min(bits, FIRST_BITS)
     while now < bits:
         to = min(bits, now + FIRST_BITS)
-        blobs = blobs.repartition("part").sortWithinPartitions("part").mapInArrow(_finer(now, to), "part long, blob binary")
+        blobs = blobs.repartition("part").sortWithinPartitions("part").mapInArrow(_finer(now, to, wide, spare), "part long, blob binary")
         now = to
     return blobs.repartition(F.col("part")).sortWithinPartitions("part")

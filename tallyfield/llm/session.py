@@ -34,12 +34,6 @@ def ranges_for(entries: int, each: int, least: int = 5) -> int:
     return max(least, math.ceil(math.log2(max(1.0, entries / each))))
 
 
-def range_bits(spark: SparkSession, least: int = 5, most: int = 14) -> int:
-    """log2 of the number of key ranges: as many as shuffle partitions, which users scale with their data."""
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return min(most, max(least, math.ceil(math.log2(max(2, n)))))
-
-
 def keep(df: DataFrame) -> DataFrame:
     """Materialise in the shared folder and cut the lineage there."""
     return df.checkpoint(eager=True)

@@ -8,13 +8,24 @@ blocks.  So:
    grid are the index, all are probes.  They meet by hash range, as sorted
    delta-coded arrays; a hash with an index block and any other probe is a
    hit.  (Only part of the hash travels: a chance hit costs work in step 2
-   and changes nothing.)
+   and changes nothing.)  Ranges grow in number with the text, and a task
+   reads its ranges one after another.
 2. Extension.  Documents with hits are read again; each hit is extended to
    all full windows around it, and the first document of each window's
    64-bit hash decides which are repeats.  Overlapping windows add up to the
    maximal exact repeats.
 3. The spans of a document's repeats are merged and cut out of its words.
 
+A hash that a flush of a task (about FLUSH words) holds more than HOT times
+travels once: the flush's places of it wait for the answer with the flush's own
+table, so that a passage of a third of all documents gives its range at most
+HOT entries a flush.
+
+Windows are compared by their 64-bit hashes, never word by word: two different
+windows near a hit are taken for one with a chance of 2**-64 a pair.  Flushes
+are named by partition and order, so docs must give the same rows in the same
+order when a task runs again, as a file scan does.
+
 Behaviour: words are runs without white space (0x20, 0x09-0x0D), compared as
 they are; a null text has none.  Rows with equal ids never count as earlier
 than each other.  A row without an id loses nothing and is no reference.  An
@@ -24,6 +35,7 @@ empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +44,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
-from .session import keep, range_bits, ready
+from .session import keep, ranges_for, ready
 
 #: Words that a task gathers before it sends their hashes off; bounds its memory.
 FLUSH = 1 << 21
+#: Bytes of text to a hash range, about: a range holds an entry for each of their words.
+RANGE = 8 << 20
+#: Entries of one hash that a flush sends off singly.
+HOT = 8
 #: Bits of the anchors' hashes that travel.
 ANCHOR_BITS = 44
 
@@ -76,8 +92,54 @@ class _Gathered:
         return (TaskContext.get().partitionId() << 24) + self.flushes
 
 
+def _collapsed(keys: np.ndarray, place: np.ndarray, mark: np.ndarray, base: int, most: int, merge: Callable):
+    """Sorted keys, each held more than `most` times once, with the place base + its number and merge(its marks, starts); and the number and place of all that it stood for."""
+    start = kernel.runs(keys)
+    count = np.diff(np.append(start, len(keys)))
+    hot = count > most
+    if not hot.any():
+        return keys, place, mark, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    many = np.repeat(hot, count)
+    firsts = np.concatenate(([0], np.cumsum(count[hot])[:-1]))
+    number = np.arange(hot.sum())
+    key = np.concatenate((keys[~many], keys[start[hot]]))
+    at = np.concatenate((place[~many], base + number))
+    marks = np.concatenate((mark[~many], merge(mark[many], firsts)))
+    order = np.argsort(key)
+    return key[order], at[order], marks[order], np.repeat(number, count[hot]), place[many]
+
+
+def _entries(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of a range's blobs in order, with their payloads, flushes and documents."""
+    out = []
+    for x in blobs:
+        keys, value, table = kernel.unpack(x)
+        rows = table.reshape(-1, 2)
+        row = rows[value % len(rows)]
+        out.append((keys, value // len(rows), row[:, 0], row[:, 1]))
+    keys, payload, name, doc = (np.concatenate(x) for x in zip(*out, strict=True))
+    order = np.argsort(keys)
+    return keys[order], payload[order], name[order], doc[order]
+
+
+def _own(name: int, firsts: np.ndarray, ids: np.ndarray, base: int, number: np.ndarray, place: np.ndarray) -> list[tuple[int, bytes]]:
+    """What a flush keeps for itself: its documents, and the places of its hot hashes."""
+    out = [(-1 - name, kernel.pack(firsts.astype(np.uint64), np.arange(len(firsts)), ids.reshape(-1)))]
+    if len(number):
+        out.append((-1 - name, kernel.pack(number.astype(np.uint64), place, np.array([base]))))
+    return out
+
+
+def _answers(place: np.ndarray, name: np.ndarray) -> pa.RecordBatch:
+    """A blob of sorted places for each flush."""
+    order = np.lexsort((place, name))
+    place, name = place[order], name[order]
+    start = np.append(kernel.runs(name), len(name))
+    return _batch([(int(name[a]), kernel.pack(place[a:e].astype(np.uint64), np.zeros(e - a, np.int64))) for a, e in zip(start[:-1], start[1:], strict=True)], "flush")
+
+
 def _anchors(block: int, bits: int):
-    """(doc_id, text) to (key, blob): hash ranges with (key, place in flush, on the grid), and for each flush its places' documents and positions."""
+    """(doc_id, text, version) to (part, blob): hash ranges with (hash; place in flush * 4 + held twice * 2 + on the grid), and for each flush what it keeps, under negative parts."""
     grain = np.uint64(64 - ANCHOR_BITS)
 
     def run(batches):
@@ -87,13 +149,12 @@ def _anchors(block: int, bits: int):
 
         def flush():
             nonlocal base
-            keys, place, grid = held.sorted()
+            keys, place, grid, number, waiting = _collapsed(*held.sorted(), base, HOT, lambda mark, starts: np.maximum.reduceat(mark, starts) | 2)
             cuts = kernel.by_range(keys << grain, bits)
             name = held.name()
-            ids = np.concatenate([i for i, _ in places], axis=1)
-            firsts = np.concatenate([f for _, f in places])
-            out = [(int(r), kernel.pack(keys[cuts[r] : cuts[r + 1]], place[cuts[r] : cuts[r + 1]] * 2 + grid[cuts[r] : cuts[r + 1]], np.array([name]))) for r in np.flatnonzero(np.diff(cuts))]
-            out.append((-1 - name, kernel.pack(firsts.astype(np.uint64), np.arange(len(firsts)), ids.reshape(-1))))
+            value, table = place * 4 + grid, np.array([name, 0])
+            out = [(int(r), kernel.pack(keys[cuts[r] : cuts[r + 1]], value[cuts[r] : cuts[r + 1]], table)) for r in np.flatnonzero(np.diff(cuts))]
+            out += _own(name, np.concatenate([f for _, f in places]), np.concatenate([i for i, _ in places], axis=1), base, number, waiting)
             places.clear()
             base = 0
             return _batch(out, "part")
@@ -118,30 +179,17 @@ def _anchors(block: int, bits: int):
 
 
 def _hits(batches):
-    """A range's blobs to (flush, blob): the places of hits; flushes' own tables go through."""
-    for b in batches:
-        for part, blobs in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            if part < 0:
-                yield _batch([(-1 - part, x.as_py()) for x in blobs], "flush")
-                continue
-            parts = [kernel.unpack(x.as_py()) for x in blobs]
-            keys = np.concatenate([p[0] for p in parts])
-            value = np.concatenate([p[1] for p in parts])
-            of = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
-            names = [int(p[2][0]) for p in parts]
-            del parts
-            order = np.argsort(keys)
-            keys, value, of = keys[order], value[order], of[order]
-            start = kernel.runs(keys)
-            if not len(start):
-                continue
-            count = np.diff(np.append(start, len(keys)))
-            hit = np.repeat((count > 1) & (np.add.reduceat(value & 1, start) > 0), count)
-            value, of = value[hit] >> 1, of[hit]
-            order = np.lexsort((value, of))
-            value, of = value[order], of[order]
-            start = np.append(kernel.runs(of), len(of))
-            yield _batch([(names[of[a]], kernel.pack(value[a:e].astype(np.uint64), np.zeros(e - a, np.int64))) for a, e in zip(start[:-1], start[1:], strict=True)], "flush")
+    """Ranges' blobs to (flush, blob): the places of hits; what flushes keep goes through."""
+    for part, blobs in kernel.grouped(batches):
+        if part < 0:
+            yield _batch([(-1 - part, x) for x in blobs], "flush")
+            continue
+        keys, payload, name, _ = _entries(blobs)
+        start = kernel.runs(keys)
+        count = np.diff(np.append(start, len(keys)))
+        marks = np.bitwise_or.reduceat(payload & 3, start)
+        hit = np.repeat(((count > 1) | (marks > 1)) & (marks & 1 > 0), count)
+        yield _answers(payload[hit] >> 2, name[hit])
 
 
 def _spans_of(pos: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -154,37 +202,48 @@ def _spans_of(pos: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _per_document(length: int):
-    """A flush's blobs - one with its documents, others with places - to (doc_id, version, spans): merged [start, end) word spans."""
+    """A flush's blobs - its documents, the places of its hot hashes, answers - to (doc_id, version, spans): merged [start, end) word spans."""
 
     def run(batches):
-        for b in batches:
-            for blobs in b.column(1):
-                firsts = ids = None
-                places = []
-                for x in blobs:
-                    keys, _, table = kernel.unpack(x.as_py())
-                    if len(table):
-                        firsts, ids = keys.astype(np.int64), table.reshape(2, -1)
-                    else:
-                        places.append(keys.astype(np.int64))
-                if not places:
-                    continue
-                place = np.sort(np.concatenate(places))
-                doc = np.searchsorted(firsts, place, "right") - 1
-                pos = place - firsts[doc]
-                out_ids, spans = [], []
-                for a, e in zip(s := np.append(kernel.runs(doc), len(doc)), s[1:], strict=False):
-                    starts, ends = _spans_of(pos[a:e], length)
-                    out_ids.append(ids[:, doc[a]])
-                    spans.append(np.stack((starts, ends), 1).reshape(-1))
-                if out_ids:
-                    yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in np.array(out_ids).T), pa.array([x.tolist() for x in spans], pa.list_(pa.int64()))], names=["doc_id", "version", "spans"])
+        for _, blobs in kernel.grouped(batches):
+            firsts = ids = hot = None
+            places = []
+            for x in blobs:
+                keys, values, table = kernel.unpack(x)
+                if len(table) > 1:
+                    firsts, ids = keys.astype(np.int64), table.reshape(2, -1)
+                elif len(table):
+                    hot = (int(table[0]), keys.astype(np.int64), values)
+                else:
+                    places.append(keys.astype(np.int64))
+            if not places:
+                continue
+            place = np.concatenate(places)
+            if hot is not None:
+                base, number, waiting = hot
+                asked = place >= base
+                place = np.concatenate((place[~asked], waiting[np.isin(number, place[asked] - base)]))
+            place = np.unique(place)
+            if not len(place):
+                continue
+            doc = np.searchsorted(firsts, place, "right") - 1
+            pos = place - firsts[doc]
+            out_ids, spans = [], []
+            for a, e in zip(s := np.append(kernel.runs(doc), len(doc)), s[1:], strict=False):
+                starts, ends = _spans_of(pos[a:e], length)
+                out_ids.append(ids[:, doc[a]])
+                spans.append(np.stack((starts, ends), 1).reshape(-1))
+            yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in np.array(out_ids).T), pa.array([x.tolist() for x in spans], pa.list_(pa.int64()))], names=["doc_id", "version", "spans"])
 
     return run
 
 
 def _windows(window: int, block: int, bits: int):
-    """(doc_id, text, spans of hits) to blobs as in _anchors, of the full windows around hits; each range's blob holds its places' documents."""
+    """(doc_id, text, spans of hits, version) to blobs as in _anchors, of the full windows around hits, each with its place and its document.
+
+    A hot window stands under its flush's smallest document; its places in
+    other documents are repeats for certain, and answered at once.
+    """
 
     def run(batches):
         held = _Gathered()
@@ -193,17 +252,24 @@ def _windows(window: int, block: int, bits: int):
 
         def flush():
             nonlocal base
-            keys, place, _ = held.sorted()
             name = held.name()
             ids = np.concatenate([i for i, _ in places], axis=1)
             firsts = np.concatenate([f for _, f in places])
+            keys, place, _ = held.sorted()
+            doc = ids[0][np.searchsorted(firsts, place, "right") - 1]
+            keys, place, doc, number, waiting = _collapsed(keys, place, doc, base, HOT, np.minimum.reduceat)
+            out = _own(name, firsts, ids, base, number, waiting)
+            if len(number):
+                least = np.empty(number[-1] + 1, np.int64)
+                hot = place >= base
+                least[place[hot] - base] = doc[hot]
+                later = waiting[ids[0][np.searchsorted(firsts, waiting, "right") - 1] > least[number]]
+                out.append((-1 - name, kernel.pack(np.sort(later).astype(np.uint64), np.zeros(len(later), np.int64))))
             cuts = kernel.by_range(keys, bits)
-            out = []
             for r in np.flatnonzero(np.diff(cuts)):
-                here = place[cuts[r] : cuts[r + 1]]
-                doc, which = np.unique(np.searchsorted(firsts, here, "right") - 1, return_inverse=True)
-                out.append((int(r), kernel.pack(keys[cuts[r] : cuts[r + 1]], here * len(doc) + which, np.concatenate(([name], ids[0][doc])))))
-            out.append((-1 - name, kernel.pack(firsts.astype(np.uint64), np.arange(len(firsts)), ids.reshape(-1))))
+                here = slice(cuts[r], cuts[r + 1])
+                docs, which = np.unique(doc[here], return_inverse=True)
+                out.append((int(r), kernel.pack(keys[here], place[here] * len(docs) + which, np.stack((np.full(len(docs), name), docs), 1).reshape(-1))))
             places.clear()
             base = 0
             return _batch(out, "part")
@@ -240,33 +306,15 @@ def _windows(window: int, block: int, bits: int):
 
 
 def _later(batches):
-    """A range's blobs of full windows to (flush, blob): the places whose hash has a smaller document."""
-    for b in batches:
-        for part, blobs in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            if part < 0:
-                yield _batch([(-1 - part, x.as_py()) for x in blobs], "flush")
-                continue
-            keys, place, doc, of, names = [], [], [], [], []
-            for i, x in enumerate(blobs):
-                k, v, table = kernel.unpack(x.as_py())
-                names.append(int(table[0]))
-                keys.append(k)
-                place.append(v // (len(table) - 1))
-                doc.append(table[1:][v % (len(table) - 1)])
-                of.append(np.full(len(k), i))
-            keys, place, doc, of = (np.concatenate(x) for x in (keys, place, doc, of))
-            order = np.argsort(keys)
-            keys, place, doc, of = keys[order], place[order], doc[order], of[order]
-            start = kernel.runs(keys)
-            if not len(start):
-                continue
-            first = np.repeat(np.minimum.reduceat(doc, start), np.diff(np.append(start, len(keys))))
-            hit = doc > first
-            place, of = place[hit], of[hit]
-            order = np.lexsort((place, of))
-            place, of = place[order], of[order]
-            start = np.append(kernel.runs(of), len(of))
-            yield _batch([(names[of[a]], kernel.pack(place[a:e].astype(np.uint64), np.zeros(e - a, np.int64))) for a, e in zip(start[:-1], start[1:], strict=True)], "flush")
+    """Ranges' blobs of full windows to (flush, blob): the places whose hash has a smaller document; what flushes keep goes through."""
+    for part, blobs in kernel.grouped(batches):
+        if part < 0:
+            yield _batch([(-1 - part, x) for x in blobs], "flush")
+            continue
+        keys, place, name, doc = _entries(blobs)
+        start = kernel.runs(keys)
+        first = np.repeat(np.minimum.reduceat(doc, start), np.diff(np.append(start, len(keys))))
+        yield _answers(place[doc > first], name[doc > first])
 
 
 def _cut(batches):
@@ -303,18 +351,19 @@ def repeated_spans(docs: DataFrame, window: int = 13) -> DataFrame:
     """docs(doc_id, text, version) to (doc_id, version, spans): word spans [start, end, start, end ...] that also start in a smaller doc_id; documents without any are left out."""
     spark = docs.sparkSession
     ready(spark)
-    bits = range_bits(spark)
     block = (window + 1) // 2
-
-    def gathered(rows, key):
-        return rows.groupBy(key).agg(F.collect_list("blob").alias("blobs"))
-
-    blobs = docs.mapInArrow(_anchors(block, bits), "part long, blob binary")
-    hits = gathered(blobs, "part").mapInArrow(_hits, "flush long, blob binary")
-    hits = keep(_merged(gathered(hits, "flush").mapInArrow(_per_document(block), "doc_id long, version long, spans array<long>")))
-    around = docs.join(hits, ["doc_id", "version"]).select("doc_id", "text", "spans", "version").mapInArrow(_windows(window, block, bits), "part long, blob binary")
-    later = gathered(around, "part").mapInArrow(_later, "flush long, blob binary")
-    return keep(_merged(gathered(later, "flush").mapInArrow(_per_document(window), "doc_id long, version long, spans array<long>")))
+    bits = ranges_for(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0, RANGE)
+    first = min(bits, kernel.FIRST_BITS)
+
+    def by_flush(rows):
+        return rows.repartition(F.col("flush")).sortWithinPartitions("flush")
+
+    blobs = docs.mapInArrow(_anchors(block, first), "part long, blob binary")
+    hits = kernel.in_ranges(blobs, bits, 2, 64 - ANCHOR_BITS).mapInArrow(_hits, "flush long, blob binary")
+    hits = keep(_merged(by_flush(hits).mapInArrow(_per_document(block), "doc_id long, version long, spans array<long>")))
+    around = docs.join(hits, ["doc_id", "version"]).select("doc_id", "text", "spans", "version").mapInArrow(_windows(window, block, first), "part long, blob binary")
+    later = kernel.in_ranges(around, bits, 2).mapInArrow(_later, "flush long, blob binary")
+    return keep(_merged(by_flush(later).mapInArrow(_per_document(window), "doc_id long, version long, spans array<long>")))
 
 
 def _with_spans(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
