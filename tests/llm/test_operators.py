@@ -2,9 +2,11 @@
 
 import gzip
 import hashlib
+import math
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,6 +97,57 @@ def test_substring_dedup(spark):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_substring_dedup_in_small_flushes(spark, monkeypatch):
+    """Many flushes, hot windows and ranges cut twice give what the defaults give."""
+    common = " ".join(f"c{i}" for i in range(30))
+    rows = [(i, f"{t or ''} {common} {common if (i or 0) % 3 else ''} t{i}") for i, t in corpus(5, 120)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(3, "doc_id")
+    want = sorted(map(tuple, substring.substring_dedup(docs).collect()), key=repr)
+    assert sum(r[2] for r in want) > 30 * 100
+    for name, value in (("FLUSH", 400), ("HOT", 1), ("RANGE", 16)):
+        monkeypatch.setattr(substring, name, value)
+    monkeypatch.setattr(kernel, "FIRST_BITS", 4)
+    assert sorted(map(tuple, substring.substring_dedup(docs).collect()), key=repr) == want
+
+
+def test_substring_dedup_of_hot_windows(spark):
+    """A passage that a flush holds more often than HOT, within and across documents, against brute force."""
+    common = [f"c{i}" for i in range(20)]
+    rows = [(i, " ".join([f"a{i}", *common, f"b{i}", *common[: 20 - i % 5], f"d{i}"])) for i in range(60)]
+    got = {r["doc_id"]: (r["n_removed"], r["kept"]) for r in substring.substring_dedup(spark.createDataFrame(rows, DOCS)).collect()}
+    first = {}
+    for i, t in rows:
+        w = t.split()
+        for p in range(len(w) - 12):
+            first.setdefault(tuple(w[p : p + 13]), i)
+    for i, t in rows:
+        w = t.split()
+        gone = {q for p in range(len(w) - 12) if first[tuple(w[p : p + 13])] < i for q in range(p, p + 13)}
+        assert got[i] == (len(gone), " ".join(x for q, x in enumerate(w) if q not in gone))
+
+
+@pytest.mark.parametrize("size", [1e4, 1e6, 1.8e7])
+def test_top_k_of_large_components(spark, size):
+    """Scores beyond what doubles hold are sums of integers."""
+    rnd = random.Random(4)
+    rows = [(i, [rnd.uniform(-size, size) for _ in range(12)]) for i in range(60)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    good = {i: [math.floor(64 * x) for x in v] for i, v in rows}
+    scores = {q: sorted((-sum(a * b for a, b in zip(good[q], v, strict=True)), i) for i, v in good.items() if i != q)[:5] for q in (0, 20, 40)}
+    run = topk.exact_top_k(vectors, vectors.where("vec_id % 20 = 0"), 5, query_bytes=100)
+    assert sorted(map(tuple, run.collect())) == [(q, r, i, -s) for q in scores for r, (s, i) in enumerate(scores[q], 1)]
+
+
+def test_top_k_beyond_long():
+    """Best scores that are no long are refused; others that are none only lose."""
+    big = np.array([[1 << 60, 1]], dtype=object)
+    block = np.array([[1 << 60, 0, -(1 << 60)], [0, 5, 0]], dtype=object)
+    ids = np.arange(3)
+    with pytest.raises(OverflowError):
+        topk.best_wide(big, np.array([9]), block, ids, 2)
+    assert [x.tolist() for x in topk.best_wide(big, np.array([0]), block, ids, 1)] == [[0], [1], [5]]
+
+
 def test_top_k(spark):
     rnd = random.Random(3)
     rows = [(i, [rnd.choice([-1.0, 0.0, 0.5, 1.0]) for _ in range(24)]) for i in range(300)] + [(900, None), (901, [None] * 24), (902, [float("nan")] * 24), (903, [1.0])]
