@@ -47,7 +47,7 @@ from . import kernel
 from .session import keep, ranges_for, ready
 
 #: Words that a task gathers before it sends their hashes off; bounds its memory.
-FLUSH = 1 << 21
+FLUSH = 1 << 20
 #: Bytes of text to a hash range, about: a range holds an entry for each of their words.
 RANGE = 8 << 20
 #: Entries of one hash that a flush sends off singly.
