@@ -66,7 +66,6 @@ QUERIES: dict[str, str] = {
     "P24_first_integer": "SELECT doc_id, {FIRSTINT} AS first_int FROM documents WHERE {FIRSTINT} <> ''",
     "P25_stable_hash": "SELECT doc_id, {SHA} AS digest, md5(text) AS short FROM documents",
     "P26_min_max": "SELECT p_partkey, round((p_retailprice - min(p_retailprice) OVER ()) / (max(p_retailprice) OVER () - min(p_retailprice) OVER ()), 6) AS v FROM part",
-    "P27_log_guards": f"WITH {DENSE} SELECT n, round(ln(greatest(c, 0.5)), 6) AS a, round(ln(c + 1), 6) AS b FROM den WHERE n <= 3000",
     "P28_half_even": "SELECT l_orderkey, l_linenumber, {REVEN}(l_quantity / 2.0, 0) AS r FROM lineitem",
     # sampling
     "M01_units": f"WITH {UNIT}, s AS (SELECT doc_id, size, CAST(ceil(size / 4096.0) AS INT) AS k FROM unit) SELECT doc_id, CAST(part AS INT) AS part, CAST(floor(size * part / CAST(k AS DOUBLE)) AS BIGINT) AS lo, CAST(floor(size * (part + 1) / CAST(k AS DOUBLE)) AS BIGINT) AS hi FROM (SELECT doc_id, size, k, {{EXPL}}({{SEQ}}(0, k - 1)) AS part FROM s) q",
@@ -74,7 +73,6 @@ QUERIES: dict[str, str] = {
     "M03_size_proportional": f"WITH {UNIT}, w AS (SELECT doc_id, size, sum(size) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS hi, sum(size) OVER () AS tot, count(*) OVER () AS units FROM unit), d AS (SELECT n AS draw, ((CAST(n AS BIGINT) * 1103515245 + 12345) % 2147483648) / 2147483648.0 AS u FROM {{ZERO}} z WHERE n < 200) SELECT CAST(draw AS INT) AS draw, doc_id, round(CAST(tot AS DOUBLE) / units / size, 6) AS weight FROM d JOIN w ON u * tot >= hi - size AND u * tot < hi",
     "M04_budget_prefix": f"WITH {UNIT}, o AS (SELECT doc_id, size, sum(size) OVER (ORDER BY (doc_id * 69069 + 1) % 4294967296, doc_id ROWS UNBOUNDED PRECEDING) AS cum FROM unit) SELECT doc_id, size FROM o WHERE cum - size < 200000",
     "M10_chunk_offsets": f"WITH {UNIT} SELECT doc_id, CAST(floor(size / 2048) AS BIGINT) AS chunks, CAST(sum(floor(size / 2048)) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto FROM unit",
-    "M12_chunk_to_file": f"WITH {UNIT}, o AS (SELECT doc_id, CAST(floor(size / 2048) AS BIGINT) AS k, CAST(sum(floor(size / 2048)) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS hi FROM unit) SELECT CAST(z.n AS INT) AS chunk, doc_id, CAST((z.n - (hi - k)) * 2048 AS BIGINT) AS start FROM {{ZERO}} z JOIN o ON z.n >= hi - k AND z.n < hi WHERE z.n < 500",
     "M13_membership_overlap": "WITH m AS (SELECT doc_id, CAST((doc_id * 7 + 3) % 3 AS INT) AS a, CAST((doc_id * 11 + 5) % 3 AS INT) AS b FROM documents) SELECT count_if(a > 0) AS in_a, count_if(b > 0) AS in_b, count_if(a > 0 AND b > 0) AS in_both, CAST(sum(least(a, b)) AS BIGINT) AS shared FROM m",
     "M16_stratum_budget": f"WITH {UNIT} SELECT source, round(10000000.0 * sum(size) / sum(sum(size)) OVER (), 6) AS budget FROM unit GROUP BY source",
     "M17_fractional_prefix": f"WITH {UNIT}, o AS (SELECT source, doc_id, size, sum(size) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) - size AS before FROM unit) SELECT source, doc_id, round(least(1.0, greatest(0.0, (30000.0 - before) / size)), 6) AS w FROM o WHERE before < 30000",
@@ -120,10 +118,8 @@ QUERIES: dict[str, str] = {
     "W02_cumulative": f"WITH {DENSE}, s AS (SELECT n, CAST(sum(c) OVER (ORDER BY n ROWS UNBOUNDED PRECEDING) AS DOUBLE) / sum(c) OVER () AS q FROM den) SELECT d.n AS decile, min(s.n) AS at FROM {{ZERO}} d JOIN s ON s.q >= d.n / 10.0 WHERE d.n BETWEEN 1 AND 9 GROUP BY d.n",
     "W03_tiers": f"WITH {PART}, r AS (SELECT n, floor(n / 100) AS block, row_number() OVER (PARTITION BY floor(n / 100) ORDER BY c, n) - 1 AS k, count(*) OVER (PARTITION BY floor(n / 100)) AS m FROM cnt) SELECT n, CAST(floor(k * 3 / m) AS INT) AS tier FROM r",
     "W04_demean": f"WITH {FAM} SELECT model, round(x - avg(x) OVER (PARTITION BY family), 6) AS x, round(y - avg(y) OVER (PARTITION BY family), 6) AS y FROM cell",
-    "W05_average_rank": "SELECT l_orderkey, l_linenumber, rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0D AS r FROM lineitem WHERE l_orderkey < 500",
     "W06_gaps": "WITH m AS (SELECT p, label, avg(x) AS v FROM {VEC} q GROUP BY p, label), o AS (SELECT p, label, lead(v) OVER (PARTITION BY p ORDER BY label) - v AS d FROM m) SELECT p, label, round(d, 6) AS gap FROM o WHERE d IS NOT NULL",
     "W07_percentile_cut": f"WITH {PART}, q AS (SELECT {{PCT}}(c, 0.3333) AS p1, {{PCT}}(c, 0.6667) AS p2 FROM cnt) SELECT CASE WHEN c < p1 THEN 0 WHEN c < p2 THEN 1 ELSE 2 END AS tier, count(*) AS k FROM cnt CROSS JOIN q GROUP BY 1",
-    "W08_sliding_mean": f"WITH {DENSE} SELECT n, round(avg(c) OVER (ORDER BY n ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 6) AS m FROM den WHERE n <= 2000",
     "W09_crossing": "WITH s AS (SELECT l_returnflag AS g, l_linenumber AS t, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2), h AS (SELECT g, max(v) / 2 AS h FROM s GROUP BY g), w AS (SELECT s.g, t, v, h, lag(t) OVER (PARTITION BY s.g ORDER BY t) AS t0, lag(v) OVER (PARTITION BY s.g ORDER BY t) AS v0 FROM s JOIN h ON h.g = s.g) SELECT g, round(min(t0 + (h - v0) / (v - v0) * (t - t0)), 6) AS at FROM w WHERE v0 >= h AND v < h GROUP BY g",
     "W10_top_k": f"WITH {PART} SELECT n, c FROM cnt ORDER BY c DESC, n LIMIT 20",
     "W11_limits": "WITH r AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents) SELECT source, doc_id FROM r WHERE k <= 4",
@@ -140,7 +136,6 @@ QUERIES: dict[str, str] = {
     "F04_zipf": f"WITH {PART}, r AS (SELECT c, row_number() OVER (ORDER BY c DESC, n) AS k FROM cnt WHERE c > 0) SELECT round(-regr_slope(ln(c), ln(k)), 6) AS zipf FROM r",
     "F05_local_slopes": f"WITH {PART} SELECT CAST(length(CAST(n AS STRING)) AS INT) AS digits, round(regr_slope(ln(c), ln(n)), 6) AS slope FROM cnt WHERE n >= 10 AND n < 10000 GROUP BY 1",
     "F06_log_correlation": f"WITH {PART}, s AS (SELECT CAST(l_partkey AS INT) AS n, count(*) AS c FROM lineitem WHERE l_orderkey % 4 = 0 GROUP BY 1) SELECT round(corr(ln(s.c), ln(cnt.c)), 6) AS r FROM s JOIN cnt ON cnt.n = s.n",
-    "F08_null_models": f"WITH {DENSE}, t AS (SELECT CAST(sum(c) AS DOUBLE) AS t FROM den WHERE n >= 1), g AS (SELECT n, exp(-0.5 * power((n - 5000.5) / 2499.75, 2)) AS g, 1.0 / n AS z FROM den WHERE n >= 1), s AS (SELECT sum(g) AS sg, sum(z) AS sz FROM g) SELECT n, round(t / 10000, 6) AS uniform, round(t * g / sg, 6) AS gaussian, round(t * z / sz, 6) AS zipf FROM g CROSS JOIN t CROSS JOIN s WHERE n <= 2000",
     "F09_kl": f"WITH {DENSE}, p AS (SELECT n, CAST(c AS DOUBLE) / sum(c) OVER () AS p, (1.0 / n) / sum(1.0 / n) OVER () AS z FROM den WHERE n >= 1) SELECT round(sum(CASE WHEN p > 0 THEN p * ln(p * 10000) ELSE 0 END), 6) AS kl_uniform, round(sum(CASE WHEN p > 0 THEN p * ln(p / z) ELSE 0 END), 6) AS kl_zipf FROM p",
     "F11_benford": f"WITH {PART}, d AS (SELECT CAST(substr(CAST(n AS STRING), 1, 1) AS INT) AS d, CAST(sum(c) AS DOUBLE) AS c FROM cnt WHERE n > 0 GROUP BY 1) SELECT d, round(c / sum(c) OVER (), 6) AS share, round(c / sum(c) OVER () - ln(1 + 1.0 / d) / ln(10), 6) AS residual FROM d",
     "F13_round_excess": f"WITH {DENSE}, e AS (SELECT a.n, max(a.c) AS c, avg(b.c) AS base FROM den a JOIN den b ON b.n BETWEEN a.n - 3 AND a.n + 3 AND b.n % 10 <> 0 AND b.n >= 1 WHERE a.n % 10 = 0 AND a.n BETWEEN 20 AND 9990 GROUP BY a.n) SELECT round(avg(ln(c / base)), 6) AS excess FROM e WHERE c > 0 AND base > 0",
