@@ -2,8 +2,8 @@ r"""SentencePiece encoding and decoding by a weighted finite-state transducer.
 
 A model file compiles into one transducer, the composition of
 
-* the normaliser: a dummy prefix, spaces to ``▁`` (a rule table of its own isn't
-  supported: such a model is refused),
+* the normaliser: the model's rule table, of which the longest rule that fits is
+  applied place by place, then extra spaces away, a dummy prefix, spaces to ``▁``,
 * the pieces: an arc for each piece from its characters to its id, and for a
   character that no piece holds the arcs of its UTF-8 bytes,
 * for BPE models an acceptor of id pairs.  A sequence of pieces is what merging
@@ -13,6 +13,8 @@ A model file compiles into one transducer, the composition of
 
 A text is composed with it and the shortest path in the tropical semiring taken:
 for unigram models the least sum of -score, for BPE the one path of finite weight.
+Unknown characters in a row have one id if the model has no bytes to fall back to.
+Models with user-defined pieces are refused.
 
 No piece holds ``▁`` behind another character, and some characters are in no
 longer piece at all; paths of what stands between such places are independent,
@@ -21,7 +23,8 @@ are remembered (at most CACHE of them).
 
 Behaviour: a null text has null ids, an empty one none; texts of any length are
 encoded whole; an empty table gives no rows; a text with ``▁`` itself decodes to
-a space, which round_trip reports.
+a space, and one that the rule table changes to what it was changed to, which
+round_trip reports.
 """
 
 from __future__ import annotations
@@ -69,6 +72,38 @@ def fields(raw: bytes):
             at += size
 
 
+class Rules:
+    """The normaliser's rule table: a double-array trie of UTF-8 strings, its leaves places in a list of what replaces them."""
+
+    def __init__(self, table: bytes):
+        size = struct.unpack_from("<I", table)[0] if table else 0
+        self.trie = struct.unpack_from(f"<{size // 4}I", table, 4) if table else ()
+        self.to = table[4 + size :]
+
+    def step(self, raw: bytes, at: int) -> tuple[bytes, int]:
+        """What stands for the text at a place, and how many bytes of it that replaces."""
+        trie, size, found = self.trie, 0, -1
+        if trie:
+            node = self._below(0, trie[0])
+            for i in range(at, len(raw)):
+                node ^= raw[i]
+                if node >= len(trie) or trie[node] & 0x800000FF != raw[i]:
+                    break
+                leaf = trie[node] & 256
+                node = self._below(node, trie[node])
+                if leaf:
+                    size, found = i + 1 - at, trie[node] & 0x7FFFFFFF
+        if size:
+            return self.to[found : self.to.index(0, found)], size
+        size = 1 if raw[at] < 0xC0 else 2 if raw[at] < 0xE0 else 3 if raw[at] < 0xF0 else 4
+        return raw[at : at + size], size
+
+    @staticmethod
+    def _below(node: int, unit: int) -> int:
+        """A unit holds the offset of what is below its node: 21 bits, eight bits further if its tenth bit is set."""
+        return node ^ unit >> 10 << (8 if unit & 512 else 0)
+
+
 class Transducer:
     """A compiled model."""
 
@@ -76,7 +111,7 @@ class Transducer:
         self.pieces: list[str] = []
         self.scores: list[float] = []
         self.kinds: list[int] = []
-        self.model, self.prefix, self.escape = UNIGRAM, True, True
+        self.model, self.prefix, self.escape, self.trim, self.rules = UNIGRAM, True, True, True, Rules(b"")
         for number, value in fields(model):
             if number == 1:
                 one = dict(fields(value))
@@ -87,8 +122,7 @@ class Transducer:
                 self.model = dict(fields(value)).get(3, UNIGRAM)
             elif number == 3:
                 rules = dict(fields(value))
-                if rules.get(2) or rules.get(4, 1):
-                    raise ValueError("this model's normaliser isn't supported")
+                self.rules, self.trim = Rules(rules.get(2, b"")), bool(rules.get(4, 1))
                 self.prefix, self.escape = bool(rules.get(3, 1)), bool(rules.get(5, 1))
         if self.model not in (UNIGRAM, BPE) or USER_DEFINED in self.kinds:
             raise ValueError("this model isn't supported")
@@ -96,6 +130,7 @@ class Transducer:
         self.unknown = self.kinds.index(UNKNOWN)
         self.bytes = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if self.kinds[i] == BYTE}
         self.longest = max(map(len, self.ids))
+        self.lowest = min(self.scores[i] for i in self.ids.values()) - 10
         # of every prefix of a piece: the pieces it starts with, (id, length), longest first
         self.arcs: dict[str, tuple[tuple[int, int], ...]] = {"": ()}
         for p in sorted({p[:j] for p in self.ids for j in range(1, len(p) + 1)}, key=len):
@@ -120,11 +155,23 @@ class Transducer:
         return re.compile("|".join([*runs, f"{SPACE}+", "(?s:.)"]))
 
     def normalise(self, text: str) -> str:
+        if self.rules.trie:
+            text = self._ruled(text)
+        if self.trim:
+            text = re.sub(" +", " ", text.strip(" "))
         if not text:
             return text
         text = f" {text}" if self.prefix else text
         return text.replace(" ", SPACE) if self.escape else text
 
+    def _ruled(self, text: str) -> str:
+        raw, at, out = text.encode(), 0, []
+        while at < len(raw):
+            to, size = self.rules.step(raw, at)
+            out.append(to)
+            at += size
+        return b"".join(out).decode()
+
     def merged(self, symbols: list[str]) -> list[str]:
         """Merge neighbours, the best-scored piece first and of equals the leftmost, until no two make a piece."""
         ids, scores = self.ids, self.scores
@@ -223,7 +270,7 @@ class Transducer:
         ids, n, longest = self.ids, len(segment), self.longest
         back, last = [0] * (n + 1), [-1] * (n + 1)
         least = [0.0] + [float("inf")] * n
-        lowest = min(self.scores) - 10
+        lowest = self.lowest
         for i in range(1, n + 1):
             for j in range(max(0, i - longest), i):
                 piece = ids.get(segment[j:i])
@@ -246,13 +293,15 @@ class Transducer:
                 if len(segment) <= 48:
                     known[segment] = ids
             out += ids
+        if not self.bytes:
+            out = [x for i, x in enumerate(out) if x != self.unknown or not i or out[i - 1] != x]
         if len(known) >= CACHE:  # what was used of late stays for another generation
             self.known, self.older = {}, known
         return out
 
     def decode(self, ids: list[int]) -> str:
         raw = b"".join(map(self.raw.__getitem__, ids))
-        return (raw[1:] if self.prefix and raw[:1] == b" " else raw).decode("utf-8", "replace")
+        return (raw[1:] if (self.prefix or self.trim) and raw[:1] == b" " else raw).decode("utf-8", "replace")
 
 
 _compiled: dict[int, Transducer] = {}

@@ -194,6 +194,26 @@ def test_sentencepiece(spark):
     assert all(back[i] == t for i, t in enumerate(texts) if t is None or "▁" not in t)
 
 
+@pytest.mark.parametrize(("rule", "fallback", "extra"), [("nmt_nfkc", False, True), ("nmt_nfkc_cf", True, True), ("nfkc", False, False), ("identity", True, True)])
+def test_sentencepiece_unigram(spark, tmp_path, rule, fallback, extra):
+    """Unigram models written here, with the usual rule tables, against the library."""
+    library, formats = pytest.importorskip("sentencepiece"), pytest.importorskip("sentencepiece.sentencepiece_model_pb2")
+    rnd = random.Random(9)
+    model = formats.ModelProto()
+    model.trainer_spec.model_type, model.trainer_spec.byte_fallback = spm.UNIGRAM, fallback
+    model.normalizer_spec.MergeFromString(library.SentencePieceNormalizer(rule_name=rule).serialized_normalizer_spec())
+    model.normalizer_spec.add_dummy_prefix, model.normalizer_spec.remove_extra_whitespaces, model.normalizer_spec.escape_whitespaces = True, extra, True
+    for piece, kind in [("<unk>", spm.UNKNOWN), ("<s>", spm.CONTROL), ("</s>", spm.CONTROL), *((f"<0x{b:02X}>", spm.BYTE) for b in range(256 * fallback))]:
+        model.pieces.add(piece=piece, type=kind, score=0)
+    for piece in sorted({spm.SPACE * rnd.randint(0, 1) + "".join(rnd.choice("abcde,1é") for _ in range(rnd.randint(1, 4))) for _ in range(150)} | set("abcd1") | {spm.SPACE}):
+        model.pieces.add(piece=piece, type=spm.NORMAL, score=-rnd.randint(16, 160) / 16)
+    (tmp_path / "m.model").write_bytes(model.SerializeToString())
+    own = library.SentencePieceProcessor(model_proto=model.SerializeToString())
+    texts = [None, "", "   ", "  ab  c\n", "e\u0301a\u0308 \ufb01 ①½ \u3000a¨", "日本 日本語\x00😀xyz", "ABC é É ＡＢ", *("".join(rnd.choice("  abcde,1éz\u0301Ａ①\t") for _ in range(60)) for _ in range(200))]
+    got = {r.doc_id: r.token_ids for r in spm.encode(spark.createDataFrame(list(enumerate(texts)), DOCS), str(tmp_path / "m.model")).collect()}
+    assert [got[i] for i in range(len(texts))] == [None if t is None else own.encode(t) for t in texts]
+
+
 def test_decontamination(spark):
     rnd = random.Random(5)
     item = [f"b{rnd.randrange(10**6)}" for _ in range(30)]
