@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where the cluster names none."""
+    """The folder that all executors share; one of our own only in local mode, where there is no other machine."""
     sc = spark.sparkContext
     set_by = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if set_by:
         return set_by
+    if not sc.master.startswith("local"):
+        raise ValueError("a cluster has to name a shared folder in spark.checkpoint.dir")
     return "file:///tmp/tallyfield-shared"
 
 
